@@ -1,0 +1,9 @@
+"""Every query over the engine's own operators, and the SQL that states the same results."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
