@@ -98,7 +98,7 @@ def bit_filter(keys: DataFrame, key) -> np.ndarray:
     """
     bit = F.pmod(key, F.lit(FILTER_BITS))
     words = (
-        keys.select(F.shiftright(bit, 6).alias("w"), F.shiftleft(F.lit(1).cast("long"), (bit % 64).cast("int")).alias("b"))
+        keys.select(F.shiftright(bit, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
         .toArrow()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, extract, packing, quality, sharding, topk, toxicity
+from . import chat, decontaminate, extract, jaccard, packing, quality, sharding, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,25 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.r <> b.r GROUP BY ALL),
+e AS (SELECT x, y FROM c JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) JOIN reach ON reach.x = d.r JOIN d o ON o.r = reach.y GROUP BY d.r, d.doc_id
+"""
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.range(2).select(
@@ -128,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_chat_formatting": op4_chat_formatting,
         "op5_jump_sharding": op5_jump_sharding,
         "op6_pivot_top_k": op6_pivot_top_k,
@@ -138,4 +158,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL, "op6_pivot_top_k": OP6_SQL, "op9_benchmark_decontamination": OP9_SQL}
+    return {"op3_ngram_jaccard": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op6_pivot_top_k": OP6_SQL, "op9_benchmark_decontamination": OP9_SQL}
