@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, extract, jaccard, packing, quality, sharding, topk, toxicity
+from . import chat, decontaminate, extract, jaccard, packing, quality, sharding, substring, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,6 +111,24 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+win AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+twice AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM win JOIN twice USING (h))),
+kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t
+  FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -152,10 +170,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_jump_sharding": op5_jump_sharding,
         "op6_pivot_top_k": op6_pivot_top_k,
         "op7_html_extraction": op7_html_extraction,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op6_pivot_top_k": OP6_SQL, "op9_benchmark_decontamination": OP9_SQL}
+    return {"op3_ngram_jaccard": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op6_pivot_top_k": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op9_benchmark_decontamination": OP9_SQL}
