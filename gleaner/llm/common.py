@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 #: Bits of a membership filter that goes to every task: 1 MiB, whatever the input's size.
 FILTER_BITS = 1 << 23
 #: Distinct words whose hashes a task remembers at once.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Words handled at once by the array operators; longer texts are handled alone.
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -64,6 +64,15 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One memory a Python worker, whatever operators it runs in turn.
+WORDS = WordHashes()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hash of each word."""
+    return WORDS.of(words)
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

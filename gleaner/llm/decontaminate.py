@@ -17,13 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, mixed, rolling, settle, text_key
+from .common import as_bytes, mixed, rolling, settle, text_key, word_hashes
 
 SHINGLE = 3
 #: Distinct windows that go to every task at once; a larger benchmark takes several passes.
 BLOCK_WINDOWS = 500_000
 
-_WORDS = WordHashes()
 _KEPT = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -43,7 +42,7 @@ def windows_of(benchmark: DataFrame, size: int, item: str = "item_id", text: str
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for name, t in zip(batch["item_id"].to_pylist(), as_bytes(batch["text"]), strict=True):
-                w = _WORDS.of(words_of(t))
+                w = word_hashes(words_of(t))
                 if not len(w):
                     continue
                 k = min(size, len(w))
@@ -87,7 +86,7 @@ def _rarity(docs: DataFrame, vocabulary: dict[int, np.ndarray], text: str) -> di
         counts = {s: np.zeros(len(x.keys), np.int64) for s, x in lookups.items()}
         for batch in batches:
             for t in as_bytes(batch["text"]):
-                w = _WORDS.of(words_of(t))
+                w = word_hashes(words_of(t))
                 for s, x in lookups.items():
                     np.add.at(counts[s], x(_grams(w, s))[1], 1)
         for s, c in counts.items():
@@ -153,7 +152,7 @@ def _probe(docs: DataFrame, windows: pa.Table, doc_id: str, text: str) -> DataFr
         for batch in batches:
             words, spans, seen = [], [], []
             for t in as_bytes(batch["text"]):
-                w = _WORDS.of(words_of(t))
+                w = word_hashes(words_of(t))
                 start, length, hashed = matches(w) if len(w) else (np.empty(0, np.int64),) * 3
                 words.append(len(w))
                 spans.append(np.unique(np.stack([start, start + length], 1), axis=0).ravel() if len(start) else None)

@@ -24,10 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, bit_filter, components, in_filter, rolling, settle
+from .common import as_bytes, bit_filter, components, in_filter, rolling, settle, word_hashes
 
 BUCKETS = 1 << 16
-_WORDS = WordHashes()
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -36,7 +35,7 @@ def shingles(text: bytes | None, k: int = 5) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    return np.unique(rolling(_WORDS.of(words), min(k, len(words))))
+    return np.unique(rolling(word_hashes(words), min(k, len(words))))
 
 
 def signature(own: np.ndarray) -> bytes:

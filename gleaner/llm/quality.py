@@ -14,7 +14,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import WordHashes, mixed, rolling
+from .common import WORDS, mixed, rolling
 from .learn import Sparse, found, labelled_sample, sample_features, scored, sigmoid
 
 THRESHOLD = 0.3
@@ -25,16 +25,16 @@ _RUNS = [(re.compile(p), r) for p, r in ((rb"[A-Z]+", b"A"), (rb"[a-z\x80-\xff]+
 
 class _Shapes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         shape = word
         for pattern, to in _RUNS:
             shape = pattern.sub(to, shape)
-        value = self[word] = _WORDS[b"\0shape " + shape[:40]]
+        value = self[word] = WORDS[b"\0shape " + shape[:40]]
         return value
 
 
-_WORDS, _SHAPES = WordHashes(), _Shapes()
+_SHAPES = _Shapes()
 
 
 def features(text: bytes) -> np.ndarray:
@@ -42,7 +42,7 @@ def features(text: bytes) -> np.ndarray:
     words = text.split()
     if not words:
         return np.empty(0, np.uint32)
-    w = _WORDS.of([x.lower() for x in words])
+    w = WORDS.of([x.lower() for x in words])
     s = np.fromiter(map(_SHAPES.__getitem__, words), np.uint64, len(words))
     all_of = np.concatenate([mixed(w), rolling(w, 2), rolling(s, 1), rolling(s, 2), rolling(s, 3)])
     return np.unique((all_of >> np.uint64(32)).astype(np.uint32))

@@ -24,22 +24,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import WordHashes, as_bytes, bit_filter, in_filter, rolling, settle, text_key
+from .common import CHUNK_WORDS, as_bytes, bit_filter, in_filter, rolling, settle, text_key, word_hashes
 
 #: Words of a text that the first lookup reports together.
 SEGMENT = 64
-#: Words, then windows, that a task handles together.
-CHUNK, CHUNK_WINDOWS = 1 << 20, 1 << 18
+#: Rows whose words are held at once.
+STEP = 1000
+#: Windows that a task handles together.
+CHUNK_WINDOWS = 1 << 18
 #: Probes that meet in one part of the first lookup, about; the number of parts grows with the input.
 PROBES_A_PART = 2_000_000
 
-_WORDS = WordHashes()
 
 
 def _new(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows of batches whose first two columns identify a text, each text once."""
     seen = set()
-    for batch in batches:
+    for batch in (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP)):
         for row in zip(*(as_bytes(c) if pa.types.is_string(c.type) else c.to_pylist() for c in batch.columns), strict=True):
             if (key := row[:2]) not in seen:
                 seen.add(key)
@@ -126,9 +127,9 @@ def _anchored(docs: DataFrame, size: int) -> DataFrame:
             own = (text or b"").split()
             if len(own) < size:
                 continue
-            held.append((h1, h2, _WORDS.of(own)))
+            held.append((h1, h2, word_hashes(own)))
             words += len(own)
-            if words >= CHUNK:
+            if words >= CHUNK_WORDS:
                 yield out(held)
                 held, words = [], 0
         if held:
@@ -168,13 +169,13 @@ def _anchored(docs: DataFrame, size: int) -> DataFrame:
     return settle(both.mapInArrow(texts, "h1 bigint, h2 bigint, segs binary").dropDuplicates(["h1", "h2"]))
 
 
-def _filtered(docs: DataFrame, keys: DataFrame, inside: bool = True) -> DataFrame:
-    """Rows of ``docs`` (with a column h1) whose h1 may be among ``keys``, or surely is not."""
+def _filtered(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (with a column h1) whose h1 may be among ``keys``."""
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(keys, F.col("h1")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(in_filter(bits.value, batch["h1"].to_numpy()) == inside))
+            yield batch.filter(pa.array(in_filter(bits.value, batch["h1"].to_numpy())))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -200,7 +201,7 @@ def _repeats(docs: DataFrame, size: int) -> DataFrame:
 
         held, count = [], 0
         for h1, h2, text, segs in _new(batches):
-            w = _WORDS.of((text or b"").split())
+            w = word_hashes((text or b"").split())
             n = len(w) - size + 1
             if n <= 0:
                 continue
@@ -284,30 +285,42 @@ def remove_repeats(docs: DataFrame, size: int = 35, text: str = "text") -> DataF
     own = docs.select(F.col(text).alias("text"))
     copies = own.select(*text_key(F.col("text"))).groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1")
     found = settle(copies.join(_repeats(own, size), ["h1", "h2"], "full").select("h1", "h2", "m", "spans"))
-    h1, h2 = text_key(F.col(text))
-    keyed = docs.select(h1, h2, F.col(text).alias("_text"), F.struct(*names).alias("_row"))
-    touched = _filtered(keyed, found).join(found, ["h1", "h2"], "left").select("_row", "_text", "m", "spans")
-    clean = _filtered(keyed, found, inside=False).select("_row", "_text", F.lit(None).cast("long").alias("m"), F.lit(None).cast("binary").alias("spans"))
+    keyed = docs.select(*text_key(F.col(text)), F.struct(*names).alias("_row"))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(found, F.col("h1")))
+    touched = _filtered(keyed, found).join(found, ["h1", "h2"], "left").select("_row", "m", "spans")
+
+    def cut(rows: pa.Array, copies: list, repeats: list) -> pa.RecordBatch:
+        out: list[list] = [[], [], []]
+        for t, m, spans in zip(as_bytes(rows.field(text)), copies, repeats, strict=True):
+            words = (t or b"").split()
+            kept = words
+            if m is not None and len(words) >= size:
+                kept = []
+            elif spans is not None:
+                kept, at = [], 0
+                for a, b in np.frombuffer(spans, np.int32).reshape(-1, 2).tolist():
+                    kept += words[at:a]
+                    at = b
+                kept += words[at:]
+            for column, value in zip(out, (len(words), len(words) - len(kept), b" ".join(kept)), strict=True):
+                column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.binary())
+        n_words, n_removed, kept_text = (pa.array(c, k) for c, k in zip(out, kinds, strict=True))
+        return pa.RecordBatch.from_arrays([rows, n_words, n_removed, kept_text.cast(pa.string())], ["_row", "n_words", "n_removed", "kept_text"])
+
+    def cut_touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
+                yield cut(part["_row"], part["m"].to_pylist(), part["spans"].to_pylist())
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for t, m, spans in zip(as_bytes(batch["_text"]), batch["m"].to_pylist(), batch["spans"].to_pylist(), strict=True):
-                words = (t or b"").split()
-                kept = words
-                if m is not None and len(words) >= size:
-                    kept = []
-                elif spans is not None:
-                    kept, at = [], 0
-                    for a, b in np.frombuffer(spans, np.int32).reshape(-1, 2).tolist():
-                        kept += words[at:a]
-                        at = b
-                    kept += words[at:]
-                for column, value in zip(out, (len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "replace")), strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch["_row"], *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["_row", "n_words", "n_removed", "kept_text"])
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
+                rows = part["_row"].filter(pa.array(~in_filter(bits.value, part["h1"].to_numpy())))
+                yield cut(rows, [None] * len(rows), [None] * len(rows))
 
     schema = StructType([keyed.schema["_row"]]).add("n_words", LongType()).add("n_removed", LongType()).add("kept_text", StringType())
-    done = touched.mapInArrow(cut, schema).union(clean.mapInArrow(cut, schema))
+    done = touched.mapInArrow(cut_touched, schema).union(keyed.mapInArrow(cut_others, schema))
     return done.select(*(F.col("_row")[c].alias(c) for c in names), "n_words", "n_removed", "kept_text")

@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import WordHashes, mixed, rolling
+from .common import WORDS, mixed, rolling
 from .learn import Sparse, found, labelled_sample, sample_features, scored, sigmoid
 
 THRESHOLD = 0.5
@@ -49,7 +49,6 @@ APART = 3.0
 #: Bytes of the word beginnings that count as features.
 BEGINNINGS = (4, 5, 6)
 
-_WORDS = WordHashes()
 
 
 class _Beginnings(dict):
@@ -59,9 +58,9 @@ class _Beginnings(dict):
         self.size = size
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 60_000:
             self.clear()
-        value = self[word] = _WORDS[b"\0%d" % self.size + word[: self.size]]
+        value = self[word] = WORDS[b"\0%d" % self.size + word[: self.size]]
         return value
 
 
@@ -70,13 +69,13 @@ _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def _hashed(words: str) -> np.ndarray:
-    return np.sort(mixed(_WORDS.of([w.encode() for w in words.split()])))
+    return np.sort(mixed(WORDS.of([w.encode() for w in words.split()])))
 
 
 _LEXICON_WORDS = _hashed(" ".join(LEXICONS.values()))
 _GROUPS = [_hashed(words) for words in LEXICONS.values()]
 _YOU = _hashed(YOU)
-_PHRASES = np.sort(np.concatenate([rolling(_WORDS.of(p.encode().split()), 2) for p in PHRASES.split("|")]))
+_PHRASES = np.sort(np.concatenate([rolling(WORDS.of(p.encode().split()), 2) for p in PHRASES.split("|")]))
 _WORD_GROUP = np.array([next(g for g, group in enumerate(_GROUPS) if w in group) for w in _LEXICON_WORDS])
 #: Ids below this are voters, not n-grams.
 VOTERS = 4096
@@ -89,7 +88,7 @@ def features(text: bytes) -> np.ndarray:
     words = text.lower().translate(_LETTERS).split()
     if not words:
         return np.empty(0, np.uint32)
-    raw = _WORDS.of(words)
+    raw = WORDS.of(words)
     one, two = mixed(raw), rolling(raw, 2)
     own = np.unique(one)
     hits = found(_LEXICON_WORDS, own)
