@@ -27,15 +27,20 @@ from pyspark.sql import functions as F
 from .common import as_bytes, bit_filter, components, in_filter, rolling, settle, word_hashes
 
 BUCKETS = 1 << 16
+#: Texts whose words are held at once.
+STEP = 1000
 _LOW = np.uint64((1 << 48) - 1)
 
 
-def shingles(text: bytes | None, k: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``k`` words, A-Z in lower case; of all words if there are fewer."""
+def _runs(text: bytes | None, k: int) -> np.ndarray:
+    """Hash of each run of ``k`` words, A-Z in lower case; of all words if there are fewer."""
     words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(rolling(word_hashes(words), min(k, len(words))))
+    return rolling(word_hashes(words), min(k, len(words))) if words else np.empty(0, np.uint64)
+
+
+def shingles(text: bytes | None, k: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's runs of ``k`` words."""
+    return np.unique(_runs(text, k))
 
 
 def signature(own: np.ndarray) -> bytes:
@@ -43,13 +48,14 @@ def signature(own: np.ndarray) -> bytes:
 
 
 def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """Occurrences of each bucket of shingles over all documents."""
+    """Occurrences of each bucket of shingles in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for t in as_bytes(batch["text"]):
-                counts += np.bincount((shingles(t, k) >> np.uint64(48)).astype(np.int64), minlength=BUCKETS) if t else 0
+            for at in range(0, batch.num_rows, STEP):
+                own = [_runs(t, k) for t in as_bytes(batch["text"].slice(at, STEP))]
+                counts += np.bincount((np.concatenate(own) >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array([counts], pa.list_(pa.int64()))], ["counts"])
 
     rows = docs.select("text").mapInArrow(run, "counts array<bigint>").select(F.posexplode("counts").alias("b", "n"))
@@ -162,8 +168,11 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     b = classes.select(F.col("sig").alias("sig_b"), F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("grp").alias("grp_b"))
     first = classes.groupBy("grp", "sel").agg(F.min(F.struct("sig", "rep", "n")).alias("f"))
     firsts = first.select("grp", "sel", F.col("f.sig").alias("sig_b"), F.col("f.rep").alias("rep_b"), F.col("f.n").alias("n_b"))
+    # one set's share of a similar pair that its prefix must hold at least; half of it is evidence enough for a pivot
+    share = 2 * num / (num + den) - num / den
     star = (
-        postings.where("sel <> pivot").select(F.col("grp").alias("grp_a"), "pivot").distinct()
+        postings.where("sel <> pivot").groupBy(F.col("grp").alias("grp_a"), "pivot").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+        .where(F.col("c") >= F.col("n") * (share / 2)).drop("n")
         .join(a, "grp_a").join(firsts.drop("grp").withColumnRenamed("sel", "pivot"), "pivot").where(close).select(*pair)
     )
     within = a.join(firsts.drop("sel").withColumnRenamed("grp", "grp_a"), "grp_a").where("sig_a <> sig_b").select(*pair)
@@ -176,16 +185,26 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     where = placed.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     comp = F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo")).otherwise(F.col("grp"))
     located = postings.select("token", "grp", "n", "pos").join(where.select("grp", comp.alias("comp")), "grp")
-    split = located.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    left = settle(located.join(split, "token"))
-    parts = left.select("token", "comp").distinct()
-    x, y = parts.toDF("token", "comp_a"), parts.toDF("token", "comp_b")
-    u = left.select("token", F.col("comp").alias("comp_a"), F.col("grp").alias("grp_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
-    v = left.select("token", F.col("comp").alias("comp_b"), F.col("grp").alias("grp_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
+    # shingles that the same groups hold (those of one passage) are one: it weighs as many as it stands for
+    same = F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("grp")), F.bit_xor(F.xxhash64(F.lit(1), "grp")))
+    split = settle(located.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), same.alias("cls")).where("x <> y").select("token", "cls"))
+    weight = split.groupBy("cls").agg(F.count("*").alias("weight"))
+    left = located.join(split, "token").groupBy("cls", "grp", "n", "comp").agg(F.min("pos").alias("pos"))
+    left = settle(left.join(weight, "cls"))
     # at the first shared shingle the rest of either set bounds the overlap, which must reach num/(num+den) of both sizes
     enough = (num + den) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= num * (F.col("n_a") + F.col("n_b"))
-    across = x.join(y, "token").where("comp_a < comp_b").join(u, ["token", "comp_a"]).join(v, ["token", "comp_b"]).where(close & enough)
-    across = across.select("grp_a", "grp_b").distinct().join(a, "grp_a").join(b, "grp_b").select(*pair)
+    side = lambda df, s: df.select("cls", *(F.col(c).alias(f"{c}_{s}") for c in df.columns if c not in ("cls", "weight")))
+    shapes, parts = left.select("cls", "n", "pos").distinct(), left.select("cls", "n", "pos", "comp").distinct()
+    across = side(shapes, "a").join(side(shapes, "b"), "cls").where(close & enough)
+    across = across.join(side(parts, "a"), ["cls", "n_a", "pos_a"]).join(side(parts, "b"), ["cls", "n_b", "pos_b"]).where("comp_a < comp_b")
+    across = across.join(side(left, "a"), ["cls", "n_a", "pos_a", "comp_a"]).join(side(left, "b"), ["cls", "n_b", "pos_b", "comp_b"])
+    across = across.select("grp_a", "grp_b", "n_a", "n_b").distinct()
+    # what both prefixes share, and all that lies behind the prefix that ends first, bounds the overlap too
+    held, also = left.select(F.col("grp").alias("grp_a"), "cls", "weight"), left.select(F.col("grp").alias("grp_b"), "cls")
+    across = across.join(held, "grp_a").join(also, ["grp_b", "cls"]).groupBy("grp_a", "grp_b", "n_a", "n_b").agg(F.sum("weight").alias("c"))
+    behind = F.ceil(F.greatest("n_a", "n_b") * num / den) - 1
+    across = across.where((num + den) * (F.col("c") + behind) >= num * (F.col("n_a") + F.col("n_b")))
+    across = across.select("grp_a", "grp_b").join(a, "grp_a").join(b, "grp_b").select(*pair)
     mixed = placed.join(where.where("lo <> hi").select("grp"), "grp")
     m, o = mixed.toDF("grp", "sig_a", "rep_a", "n_a", "root_a"), mixed.toDF("grp", "sig_b", "rep_b", "n_b", "root_b")
     inside = m.join(o, "grp").where("root_a <> root_b AND sig_a < sig_b").select(*pair)
