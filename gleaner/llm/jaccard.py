@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, bit_filter, components, in_filter, rolling, settle, word_hashes
 
 BUCKETS = 1 << 16
+#: Sizes that a pivot's key tells apart; larger sets share the last one.
+SIZES = (1 << 16) - 1
 #: Texts whose words are held at once.
 STEP = 1000
 _LOW = np.uint64((1 << 48) - 1)
@@ -93,7 +95,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 rare = 127 * int((prefix >> np.uint64(48) < rare_rank).sum()) // p
                 sigs.append(signature(own))
                 groups.append(group - (1 << 63))
-                sels.append(rare << 56 | group >> 8)
+                sels.append(rare << 56 | min(n, SIZES) << 40 | group >> 24)
                 prefixes.append(None if group in seen else prefix.astype(np.int64))
                 seen.add(group)
             arrays = (pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(groups, pa.int64()), pa.array(sels, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())))
@@ -159,7 +161,12 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     classes = settle(own.where("n > 0").groupBy("sig", "grp", "sel", "n").agg(F.min("doc_id").alias("rep")))
 
     postings = own.where("prefix IS NOT NULL").select("grp", "sel", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.min("sel").alias("pivot"), F.max("sel").alias("last")).where("pivot < last").select("token", "pivot")
+    # the keys tell the sizes of a shingle's two groups: without another, groups of too different sizes need not meet
+    size = lambda key: F.shiftright(key, 40).bitwiseAND(F.lit(SIZES))
+    few, many = F.least(size("pivot"), size("last")), F.greatest(size("pivot"), size("last"))
+    apart = (F.col("c") == 2) & (many < SIZES) & (den * few < num * many)
+    shared = postings.groupBy("token").agg(F.min("sel").alias("pivot"), F.max("sel").alias("last"), F.count("*").alias("c"))
+    shared = shared.where((F.col("pivot") < F.col("last")) & ~apart).select("token", "pivot")
     postings = settle(postings.join(shared, "token").select("token", "grp", "sel", "n", "pos", "pivot").distinct())
 
     pair = ["sig_a", "rep_a", "sig_b", "rep_b"]
@@ -184,26 +191,35 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     placed = settle(placed)
     where = placed.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     comp = F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo")).otherwise(F.col("grp"))
-    located = postings.select("token", "grp", "n", "pos").join(where.select("grp", comp.alias("comp")), "grp")
+    located = settle(postings.select("token", "grp", "n", "pos").join(where.select("grp", comp.alias("comp")), "grp"))
     # shingles that the same groups hold (those of one passage) are one: it weighs as many as it stands for
     same = F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("grp")), F.bit_xor(F.xxhash64(F.lit(1), "grp")))
     split = settle(located.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), same.alias("cls")).where("x <> y").select("token", "cls"))
     weight = split.groupBy("cls").agg(F.count("*").alias("weight"))
     left = located.join(split, "token").groupBy("cls", "grp", "n", "comp").agg(F.min("pos").alias("pos"))
-    left = settle(left.join(weight, "cls"))
+    left = left.join(weight, "cls")
+    # a group's last prefix shingle, and how many shared shingles it has at all: no partner shares more
+    ends = own.where("prefix IS NOT NULL").groupBy("grp").agg(F.max(F.element_at("prefix", -1)).alias("end"))
+    held = left.groupBy("grp").agg(F.sum("weight").alias("most"))
+    left = settle(left.join(held.join(ends, "grp"), "grp"))
     # at the first shared shingle the rest of either set bounds the overlap, which must reach num/(num+den) of both sizes
     enough = (num + den) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= num * (F.col("n_a") + F.col("n_b"))
-    side = lambda df, s: df.select("cls", *(F.col(c).alias(f"{c}_{s}") for c in df.columns if c not in ("cls", "weight")))
-    shapes, parts = left.select("cls", "n", "pos").distinct(), left.select("cls", "n", "pos", "comp").distinct()
-    across = side(shapes, "a").join(side(shapes, "b"), "cls").where(close & enough)
-    across = across.join(side(parts, "a"), ["cls", "n_a", "pos_a"]).join(side(parts, "b"), ["cls", "n_b", "pos_b"]).where("comp_a < comp_b")
-    across = across.join(side(left, "a"), ["cls", "n_a", "pos_a", "comp_a"]).join(side(left, "b"), ["cls", "n_b", "pos_b", "comp_b"])
-    across = across.select("grp_a", "grp_b", "n_a", "n_b").distinct()
-    # what both prefixes share, and all that lies behind the prefix that ends first, bounds the overlap too
-    held, also = left.select(F.col("grp").alias("grp_a"), "cls", "weight"), left.select(F.col("grp").alias("grp_b"), "cls")
-    across = across.join(held, "grp_a").join(also, ["grp_b", "cls"]).groupBy("grp_a", "grp_b", "n_a", "n_b").agg(F.sum("weight").alias("c"))
-    behind = F.ceil(F.greatest("n_a", "n_b") * num / den) - 1
-    across = across.where((num + den) * (F.col("c") + behind) >= num * (F.col("n_a") + F.col("n_b")))
+    # so does what both prefixes share with all that lies behind the prefix that ends first
+    tail = lambda n: F.ceil(F.col(n) * num / den) - 1
+    reaches = lambda shared, behind: (num + den) * (shared + behind) >= num * (F.col("n_a") + F.col("n_b"))
+    behind = F.when(F.col("end_a") <= F.col("end_b"), tail("n_a")).otherwise(tail("n_b"))
+    side = lambda df, s, *names: df.select("cls", *(F.col(c).alias(f"{c}_{s}") for c in names))
+    shapes, parts = left.groupBy("cls", "n", "pos").agg(F.max("most").alias("most")), left.select("cls", "n", "pos", "comp").distinct()
+    across = side(shapes, "a", "n", "pos", "most").join(side(shapes, "b", "n", "pos", "most"), "cls")
+    across = across.where(close & enough & reaches(F.least("most_a", "most_b"), F.greatest(tail("n_a"), tail("n_b")))).drop("most_a", "most_b")
+    across = across.join(side(parts, "a", "n", "pos", "comp"), ["cls", "n_a", "pos_a"]).join(side(parts, "b", "n", "pos", "comp"), ["cls", "n_b", "pos_b"]).where("comp_a < comp_b")
+    members = ("n", "pos", "comp", "grp", "most", "end")
+    across = across.join(side(left, "a", *members), ["cls", "n_a", "pos_a", "comp_a"]).join(side(left, "b", *members), ["cls", "n_b", "pos_b", "comp_b"])
+    across = across.withColumn("behind", behind).where(reaches(F.least("most_a", "most_b"), F.col("behind")))
+    across = across.select("grp_a", "grp_b", "n_a", "n_b", "behind").distinct()
+    u, v = left.select(F.col("grp").alias("grp_a"), "cls", "weight"), left.select(F.col("grp").alias("grp_b"), "cls")
+    across = across.join(u, "grp_a").join(v, ["grp_b", "cls"]).groupBy("grp_a", "grp_b", "n_a", "n_b", "behind").agg(F.sum("weight").alias("c"))
+    across = across.where(reaches(F.col("c"), F.col("behind")))
     across = across.select("grp_a", "grp_b").join(a, "grp_a").join(b, "grp_b").select(*pair)
     mixed = placed.join(where.where("lo <> hi").select("grp"), "grp")
     m, o = mixed.toDF("grp", "sig_a", "rep_a", "n_a", "root_a"), mixed.toDF("grp", "sig_b", "rep_b", "n_b", "root_b")
