@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes
 
 #: Labelled rows that a classifier is fitted on at most: those first by a hash of their id.
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 5000
 #: Features that a model keeps at most, the most frequent of the sample first.
 MODEL_FEATURES = 300_000
 
@@ -58,8 +58,8 @@ class Sparse:
         self.ids = ids[kept]
         places = [found(self.ids, r) for r in rows]
         self.rows = places
-        self.columns = np.concatenate(places) if places else np.empty(0, np.int64)
-        self.owner = np.repeat(np.arange(len(rows)), [len(p) for p in places])
+        self.columns = np.concatenate(places) if places else np.empty(0, np.int32)
+        self.owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p in places])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.owner, w[self.columns], minlength=len(self.rows))
@@ -71,9 +71,9 @@ class Sparse:
 def found(ids: np.ndarray, features: np.ndarray) -> np.ndarray:
     """Places in the sorted ``ids`` of those features that are among them."""
     if not len(ids):
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int32)
     at = np.minimum(np.searchsorted(ids, features), len(ids) - 1)
-    return at[ids[at] == features]
+    return at[ids[at] == features].astype(np.int32)
 
 
 def sigmoid(x):
