@@ -75,7 +75,7 @@ MEMORIES = """m AS (
   FROM conversations WHERE role IN ('user', 'assistant'))"""
 QUESTIONS = "q AS (SELECT item_id AS query_id, 'u' || (item_id % 10) AS user_id, text AS query FROM benchmark)"
 TIMED = """t AS (
-  SELECT user_id::VARCHAR AS user_id, 'e' || lpad(event_id::VARCHAR, 12, '0') AS memory_id, event_id AS row_id, epoch_ms(ts) AS occurred_at,
+  SELECT user_id::VARCHAR AS user_id, 'e' || lpad(event_id::VARCHAR, 12, '0') AS memory_id, event_id AS row_id, epoch_us(ts) // 1000 AS occurred_at,
     event_type AS role, props AS content FROM events)"""
 
 

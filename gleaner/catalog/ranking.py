@@ -111,7 +111,7 @@ def neighbor_windows(spark, sf):
     """The window of lines around each question's best row."""
     m, _, lexical, _ = _channels(spark, sf)
     best = lexical.where("rank = 1").join(m.select("memory_id", "user_id"), "memory_id")
-    return rank.windows(best, m).select("query_id", "memory_id", F.sha2(F.array_join(F.transform("context", lambda c: c["line"]), "\n"), 256).alias("window"))
+    return rank.windows(best, m).select("query_id", "memory_id", F.sha2(F.array_join(F.transform("context", lambda c: c["line"]), "\n"), 256).alias("window_sha256"))
 
 
 def pack_windows(spark, sf):
@@ -185,7 +185,7 @@ SQL = {
     "truncate_line": f"WITH {MEMORIES} SELECT memory_id, CASE WHEN (length(content) + 3) // 4 <= 20 THEN content ELSE regexp_replace(substr(content, 1, 77), '\\s+$', '') || '...' END AS line FROM m",
     "neighbor_windows": _bm25(40)
     + f""", {_POS}, b AS (SELECT hits.query_id, hits.memory_id, pos.user_id, pos.session_id, pos.position FROM hits JOIN pos USING (memory_id) WHERE rank = 1)
-      SELECT b.query_id, b.memory_id, sha256(string_agg('[' || n.memory_id || ' | ' || n.role || '] ' || n.content, chr(10) ORDER BY n.turn, n.row_id)) AS window
+      SELECT b.query_id, b.memory_id, sha256(string_agg('[' || n.memory_id || ' | ' || n.role || '] ' || n.content, chr(10) ORDER BY n.turn, n.row_id)) AS window_sha256
       FROM b JOIN pos n ON n.user_id = b.user_id AND n.session_id = b.session_id AND abs(n.position - b.position) <= 1 GROUP BY ALL""",
     "recall_at_k": _bm25(10)
     + """, rel AS (SELECT user_id, memory_id FROM m WHERE row_id % 100000 = 1), c AS (SELECT user_id, count(*) AS n FROM rel GROUP BY user_id)
