@@ -29,6 +29,8 @@ from .common import as_bytes, bit_filter, components, in_filter, rolling, settle
 BUCKETS = 1 << 16
 #: Sizes that a pivot's key tells apart; larger sets share the last one.
 SIZES = (1 << 16) - 1
+#: Groups that share a shingle, above which pairs of their sizes are filtered before pairs of groups.
+CROWD = 64
 #: Texts whose words are held at once.
 STEP = 1000
 _LOW = np.uint64((1 << 48) - 1)
@@ -194,33 +196,42 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     located = settle(postings.select("token", "grp", "n", "pos").join(where.select("grp", comp.alias("comp")), "grp"))
     # shingles that the same groups hold (those of one passage) are one: it weighs as many as it stands for
     same = F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("grp")), F.bit_xor(F.xxhash64(F.lit(1), "grp")))
-    split = settle(located.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), same.alias("cls")).where("x <> y").select("token", "cls"))
-    weight = split.groupBy("cls").agg(F.count("*").alias("weight"))
-    left = located.join(split, "token").groupBy("cls", "grp", "n", "comp").agg(F.min("pos").alias("pos"))
+    split = settle(located.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), same.alias("cls"), F.count("*").alias("size")).where("x <> y").drop("x", "y"))
+    weight = split.groupBy("cls").agg(F.count("*").alias("weight"), (F.max("size") > CROWD).alias("crowded"))
+    left = located.join(split.drop("size"), "token").groupBy("cls", "grp", "n", "comp").agg(F.min("pos").alias("pos"))
     left = left.join(weight, "cls")
     # a group's last prefix shingle, and how many shared shingles it has at all: no partner shares more
     ends = own.where("prefix IS NOT NULL").groupBy("grp").agg(F.max(F.element_at("prefix", -1)).alias("end"))
-    held = left.groupBy("grp").agg(F.sum("weight").alias("most"))
+    held = left.groupBy("grp").agg(F.sum("weight").alias("most"), F.sum(F.when(F.col("crowded"), F.col("weight")).otherwise(0)).alias("among"))
     left = settle(left.join(held.join(ends, "grp"), "grp"))
     # at the first shared shingle the rest of either set bounds the overlap, which must reach num/(num+den) of both sizes
     enough = (num + den) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= num * (F.col("n_a") + F.col("n_b"))
     # so does what both prefixes share with all that lies behind the prefix that ends first
     tail = lambda n: F.ceil(F.col(n) * num / den) - 1
     reaches = lambda shared, behind: (num + den) * (shared + behind) >= num * (F.col("n_a") + F.col("n_b"))
-    behind = F.when(F.col("end_a") <= F.col("end_b"), tail("n_a")).otherwise(tail("n_b"))
+    end_a, end_b = (F.shiftrightunsigned(F.col(e), 1) for e in ("end_a", "end_b"))  # their order is that of unsigned numbers
+    behind = F.when(end_a < end_b, tail("n_a")).when(end_a > end_b, tail("n_b")).otherwise(F.greatest(tail("n_a"), tail("n_b")))
     side = lambda df, s, *names: df.select("cls", *(F.col(c).alias(f"{c}_{s}") for c in names))
-    shapes, parts = left.groupBy("cls", "n", "pos").agg(F.max("most").alias("most")), left.select("cls", "n", "pos", "comp").distinct()
+    members, ids = ("n", "pos", "comp", "grp", "most", "end"), ("grp_a", "grp_b", "n_a", "n_b", "behind")
+    # shingles of few groups: all their pairs, counted; what the two may share among crowded shingles is allowed for
+    thin = left.where(~F.col("crowded"))
+    near = side(thin, "a", *members, "among", "weight").join(side(thin, "b", *members, "among"), "cls").where((F.col("comp_a") < F.col("comp_b")) & close)
+    near = near.withColumn("behind", behind).where(reaches(F.least("most_a", "most_b"), F.col("behind")))
+    near = near.groupBy(*ids).agg(F.sum("weight_a").alias("c"), F.max(enough).alias("ok"), F.max(F.least("among_a", "among_b")).alias("more"))
+    near = near.where(F.col("ok") & reaches(F.col("c") + F.col("more"), F.col("behind"))).select("grp_a", "grp_b")
+    # shingles of many groups: pairs of (size, position) first, then of components, then of groups
+    crowd = left.where("crowded")
+    shapes, parts = crowd.groupBy("cls", "n", "pos").agg(F.max("most").alias("most")), crowd.select("cls", "n", "pos", "comp").distinct()
     across = side(shapes, "a", "n", "pos", "most").join(side(shapes, "b", "n", "pos", "most"), "cls")
     across = across.where(close & enough & reaches(F.least("most_a", "most_b"), F.greatest(tail("n_a"), tail("n_b")))).drop("most_a", "most_b")
     across = across.join(side(parts, "a", "n", "pos", "comp"), ["cls", "n_a", "pos_a"]).join(side(parts, "b", "n", "pos", "comp"), ["cls", "n_b", "pos_b"]).where("comp_a < comp_b")
-    members = ("n", "pos", "comp", "grp", "most", "end")
-    across = across.join(side(left, "a", *members), ["cls", "n_a", "pos_a", "comp_a"]).join(side(left, "b", *members), ["cls", "n_b", "pos_b", "comp_b"])
+    across = across.join(side(crowd, "a", *members), ["cls", "n_a", "pos_a", "comp_a"]).join(side(crowd, "b", *members), ["cls", "n_b", "pos_b", "comp_b"])
     across = across.withColumn("behind", behind).where(reaches(F.least("most_a", "most_b"), F.col("behind")))
-    across = across.select("grp_a", "grp_b", "n_a", "n_b", "behind").distinct()
+    across = across.select(*ids).distinct()
     u, v = left.select(F.col("grp").alias("grp_a"), "cls", "weight"), left.select(F.col("grp").alias("grp_b"), "cls")
-    across = across.join(u, "grp_a").join(v, ["grp_b", "cls"]).groupBy("grp_a", "grp_b", "n_a", "n_b", "behind").agg(F.sum("weight").alias("c"))
-    across = across.where(reaches(F.col("c"), F.col("behind")))
-    across = across.select("grp_a", "grp_b").join(a, "grp_a").join(b, "grp_b").select(*pair)
+    across = across.join(u, "grp_a").join(v, ["grp_b", "cls"]).groupBy(*ids).agg(F.sum("weight").alias("c"))
+    across = across.where(reaches(F.col("c"), F.col("behind"))).select("grp_a", "grp_b").union(near).distinct()
+    across = across.join(a, "grp_a").join(b, "grp_b").select(*pair)
     mixed = placed.join(where.where("lo <> hi").select("grp"), "grp")
     m, o = mixed.toDF("grp", "sig_a", "rep_a", "n_a", "root_a"), mixed.toDF("grp", "sig_b", "rep_b", "n_b", "root_b")
     inside = m.join(o, "grp").where("root_a <> root_b AND sig_a < sig_b").select(*pair)

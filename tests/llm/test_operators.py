@@ -68,8 +68,10 @@ def test_jaccard_against_brute_force(spark, docs, odd):
     assert got == brute_components([r[:2] for r in odd])
 
 
-def test_jaccard_many_edits(spark):
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_jaccard_many_edits(spark, monkeypatch, crowd):
     """A large group of copies with random edits, and a passage that many short texts share."""
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
     rng = np.random.default_rng(3)
     base, line = words("b", 90), words("line", 9)
     rows = []
