@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +34,36 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: computed once, safe from lost executors."""
+_SCRATCH: list[list[str]] = []
+
+
+def settle(df: DataFrame, outlast: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: computed once, safe from lost executors.
+
+    Within scratch() the table goes when that ends; with ``outlast``, when the scratch() around that one ends,
+    or stays, as checkpoints do, where there is none.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    held = _SCRATCH[: -1 if outlast else None]
+    if held:
+        held[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tasks_for(spark: SparkSession, rows: int, rows_a_task: int) -> int:
-    """Partitions for ``rows``: as many as the session shuffles into, more if they would hold too many rows."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_a_task))
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that settle() writes meanwhile are removed at the end; nothing lazy may still need them."""
+    own: list[str] = []
+    _SCRATCH.append(own)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(own)
+        for name in own:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -140,6 +160,11 @@ def components(edges: DataFrame) -> DataFrame:
     Each round gives every component the least label next to it and contracts the edges, so the number of
     rounds is logarithmic for stars and short chains; what is left is written to the shared folder each time.
     """
+    with scratch(edges.sparkSession):
+        return _components(edges)
+
+
+def _components(edges: DataFrame) -> DataFrame:
     edges = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = settle(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("root")))
     while not edges.isEmpty():
@@ -151,4 +176,4 @@ def components(edges: DataFrame) -> DataFrame:
         edges = settle(
             edges.join(x, "a").join(y, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         )
-    return labels
+    return settle(labels, outlast=True)

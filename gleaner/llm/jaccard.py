@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bit_filter, components, in_filter, rolling, settle, word_hashes
+from .common import as_bytes, bit_filter, components, in_filter, rolling, scratch, settle, word_hashes
 
 BUCKETS = 1 << 16
 #: Sizes that a pivot's key tells apart; larger sets share the last one.
@@ -109,6 +109,11 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs`` (sig_a, rep_a, sig_b, rep_b) whose sets are similar enough: (a, b)."""
+    with scratch(docs.sparkSession):
+        return settle(_similar(docs, pairs, k, num, den), outlast=True)
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     pairs = settle(pairs)
     need = pairs.select(F.col("sig_a").alias("sig"), F.col("rep_a").alias("rep")).union(pairs.select("sig_b", "rep_b")).distinct()
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(need, F.xxhash64("rep")))
@@ -146,7 +151,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
                 good.append(den * common >= num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch["sig_a"], batch["sig_b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return settle(both.mapInArrow(similar, "a binary, b binary"))
+    return both.mapInArrow(similar, "a binary, b binary")
 
 
 def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -157,8 +162,11 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     linked. Repeated rows are documents with equal sets. A null doc_id is not a component's id while the
     component has another. An empty table stays empty; further columns are ignored.
     """
-    num, den = threshold
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    with scratch(docs.sparkSession):
+        return settle(_joined(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), k, *threshold), outlast=True)
+
+
+def _joined(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     own = _prefixes(docs, k, num, den)
     classes = settle(own.where("n > 0").groupBy("sig", "grp", "sel", "n").agg(F.min("doc_id").alias("rep")))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import CHUNK_WORDS, as_bytes, bit_filter, in_filter, rolling, settle, text_key, word_hashes
+from .common import CHUNK_WORDS, as_bytes, bit_filter, in_filter, rolling, scratch, settle, text_key, word_hashes
 
 #: Words of a text that the first lookup reports together.
 SEGMENT = 64
@@ -284,7 +284,8 @@ def remove_repeats(docs: DataFrame, size: int = 35, text: str = "text") -> DataF
     docs = docs.select(*names)
     own = docs.select(F.col(text).alias("text"))
     copies = own.select(*text_key(F.col("text"))).groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1")
-    found = settle(copies.join(_repeats(own, size), ["h1", "h2"], "full").select("h1", "h2", "m", "spans"))
+    with scratch(docs.sparkSession):
+        found = settle(copies.join(_repeats(own, size), ["h1", "h2"], "full").select("h1", "h2", "m", "spans"), outlast=True)
     keyed = docs.select(*text_key(F.col(text)), F.struct(*names).alias("_row"))
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(found, F.col("h1")))
     touched = _filtered(keyed, found).join(found, ["h1", "h2"], "left").select("_row", "m", "spans")
