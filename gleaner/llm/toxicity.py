@@ -49,22 +49,6 @@ APART = 3.0
 #: Bytes of the word beginnings that count as features.
 BEGINNINGS = (4, 5, 6)
 
-
-
-class _Beginnings(dict):
-    """word -> hash of its first bytes, by a whole word's own hash if it is no longer than they are."""
-
-    def __init__(self, size: int):
-        self.size = size
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 60_000:
-            self.clear()
-        value = self[word] = WORDS[b"\0%d" % self.size + word[: self.size]]
-        return value
-
-
-_STARTS = [_Beginnings(n) for n in BEGINNINGS]
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -109,8 +93,8 @@ def features(text: bytes) -> np.ndarray:
         fires.append(_CLEAN)
     if len(found(_PHRASES, np.unique(two))):
         fires.append(_PHRASE)
-    each = set(words)
-    starts = [mixed(np.fromiter(map(b.__getitem__, each), np.uint64, len(each))) for b in _STARTS]
+    each = set(words)  # of word beginnings there are few, so their hashes are mostly at hand
+    starts = [mixed(WORDS.of([w[:n] for w in each]) ^ np.uint64(n)) for n in BEGINNINGS]
     grams = (np.concatenate([own, two, *starts]) >> np.uint64(32)).astype(np.uint32)
     return np.concatenate([np.sort(np.array(fires, np.uint32)), np.unique(np.maximum(grams, VOTERS))])
 
