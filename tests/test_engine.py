@@ -40,11 +40,40 @@ def engine(spark, tmp_path_factory):
     return e
 
 
-def test_add_then_search(engine):
-    found = engine.search("What drink do I prefer?", "user-a")
+#: Questions of the scenarios: (user, question, options, top_k), answered as one batch.
+ASKED = {
+    "drink": ("user-a", "What drink do I prefer?", None, 10),
+    "kyoto": ("iso-a", "Where did Alice move?", None, 10),
+    "osaka": ("iso-b", "Where did Alice move?", None, 10),
+    "nobody": ("nobody", "Where did Alice move?", None, 10),
+    "latest": ("latest", "What is my latest favorite drink?", None, 10),
+    "first code": ("zephyr", "What was the first launch code for project zephyr?", None, 10),
+    "code": ("zephyr", "What is the launch code for project zephyr?", None, 10),
+    "chunks": ("chunks", "Which chapter covers sailing boats and mountain trains?", None, 10),
+    "hop": ("hop", "Where does Alice's mentor live?", None, 2),
+    "no term": ("user-a", "What is the authorization passphrase?", None, 10),
+    "options": ("iso-a", "Which token is it?", ["Kyoto"], 10),
+    "cat": ("cat", "猫", None, 10),
+    "day": ("day", "What did the team do on 2024-01-01?", None, 10),
+}
+
+
+@pytest.fixture(scope="module")
+def answers(engine, spark):
+    rows = engine.search_batch(spark.createDataFrame([(name, *q) for name, q in ASKED.items()], schemas.QUERY)).collect()
+    return {name: [r.asDict() for r in sorted(rows, key=lambda r: r.place) if r.query_id == name] for name in ASKED}
+
+
+def told(items):
+    return " ".join(i["content"] for i in items)
+
+
+def test_add_then_search(engine, answers):
+    found = engine.search("What drink do I prefer?", "user-a", 10)
     assert "jasmine tea" in found[0]["content"]
     assert 0 <= found[0]["score"] <= 1
-    assert found == engine.search("What drink do I prefer?", "user-a")  # from the cache
+    assert found == engine.search("What drink do I prefer?", "user-a", 10)  # from the cache
+    assert [i["content"] for i in found] == [i["content"] for i in answers["drink"]]  # alone as in a batch
 
 
 def test_same_request_again_and_changed(engine):
@@ -63,54 +92,42 @@ def test_broken_rules_are_named_without_values(engine, spark):
     assert sorted(e for r in told for e in r.errors) == ["messages.[0].role:value", "messages.[0].timestamp:range", "request_id:length"]
 
 
-def test_users_see_their_own(engine):
-    assert "Kyoto" in engine.search("Where did Alice move?", "iso-a")[0]["content"]
-    other = engine.search("Where did Alice move?", "iso-b")
-    assert all("Kyoto" not in item["content"] for item in other) and "Osaka" in other[0]["content"]
-    assert engine.search("Where did Alice move?", "nobody") == []
-
-
-def test_latest_and_earliest(engine):
-    assert "jasmine" in engine.search("What is my latest favorite drink?", "latest")[0]["content"]
-    assert "alpha" in engine.search("What was the first launch code for project zephyr?", "zephyr")[0]["content"]
-    now = " ".join(i["content"] for i in engine.search("What is the launch code for project zephyr?", "zephyr"))
-    assert "beta" in now and "alpha" not in now
+def test_users_see_their_own(answers):
+    assert "Kyoto" in answers["kyoto"][0]["content"]
+    assert "Osaka" in answers["osaka"][0]["content"] and "Kyoto" not in told(answers["osaka"])
+    assert answers["nobody"] == []
 
 
-def test_chunks_are_put_in_order(engine):
-    told = engine.search("Which chapter covers sailing boats and mountain trains?", "chunks")[0]["content"]
-    assert told.index("mountain trains") < told.index("sailing boats")
+def test_latest_and_earliest(answers):
+    assert "jasmine" in answers["latest"][0]["content"]
+    assert "alpha" in answers["first code"][0]["content"]
+    assert "beta" in told(answers["code"]) and "alpha" not in told(answers["code"])
 
 
-def test_both_ends_of_a_relation(engine):
-    told = " ".join(i["content"] for i in engine.search("Where does Alice's mentor live?", "hop", top_k=2))
-    assert "Bob." in told and "Kyoto" in told
+def test_chunks_are_put_in_order(answers):
+    first = answers["chunks"][0]["content"]
+    assert first.index("mountain trains") < first.index("sailing boats")
 
 
-def test_no_term_no_result(engine):
-    assert engine.search("What is the authorization passphrase?", "user-a") == []
-    assert engine.search("Which token is it?", "iso-a", options=["Kyoto"]) == []
+def test_both_ends_of_a_relation(answers):
+    assert "Bob." in told(answers["hop"]) and "Kyoto" in told(answers["hop"])
 
 
-def test_single_cjk_character(engine):
-    assert "我养猫" in engine.search("猫", "cat")[0]["content"]
+def test_no_term_no_result(answers):
+    assert answers["no term"] == [] and answers["options"] == []
 
 
-def test_day(engine):
-    assert "2024-01-01" in engine.search("What did the team do on 2024-01-01?", "day")[0]["content"]
+def test_single_cjk_character(answers):
+    assert "我养猫" in answers["cat"][0]["content"]
 
 
-def test_batch_equals_single(engine, spark):
-    asked = [("a", "user-a", "What drink do I prefer?", None, 10), ("b", "iso-b", "Where did Alice move?", None, 10), ("c", "nobody", "Where?", None, 10)]
-    rows = engine.search_batch(spark.createDataFrame(asked, schemas.QUERY)).collect()
-    for q, user, query, _, k in asked:
-        own = sorted((r.place, r.id, r.content, r.score) for r in rows if r.query_id == q)
-        assert own == [(i["place"], i["id"], i["content"], i["score"]) for i in engine.search(query, user, k)]
+def test_day(answers):
+    assert "2024-01-01" in answers["day"][0]["content"]
 
 
 def test_new_engine_on_the_same_store(engine, spark):
     again = Engine(spark, engine.store.path, CONFIG)
-    assert again.search("What drink do I prefer?", "user-a") == engine.search("What drink do I prefer?", "user-a")
+    assert again.search("What drink do I prefer?", "user-a", 10) == engine.search("What drink do I prefer?", "user-a", 10)
     a = again.rebuild_index().postings.orderBy("memory_id", "term").collect()
     assert a == engine.store.read("postings").select("user_id", "memory_id", "term", "tf").orderBy("memory_id", "term").collect()
 
