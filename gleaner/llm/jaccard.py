@@ -236,8 +236,10 @@ def _joined(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     across = across.join(side(crowd, "a", *members), ["cls", "n_a", "pos_a", "comp_a"]).join(side(crowd, "b", *members), ["cls", "n_b", "pos_b", "comp_b"])
     across = across.withColumn("behind", behind).where(reaches(F.least("most_a", "most_b"), F.col("behind")))
     across = across.select(*ids).distinct()
-    u, v = left.select(F.col("grp").alias("grp_a"), "cls", "weight"), left.select(F.col("grp").alias("grp_b"), "cls")
-    across = across.join(u, "grp_a").join(v, ["grp_b", "cls"]).groupBy(*ids).agg(F.sum("weight").alias("c"))
+    bags = left.groupBy("grp").agg(F.collect_list(F.struct("cls", "weight")).alias("bag"))  # at most a prefix each
+    u, v = bags.toDF("grp_a", "bag_a"), bags.toDF("grp_b", "bag_b").withColumn("bag_b", F.transform("bag_b", lambda x: x["cls"]))
+    both = F.filter("bag_a", lambda x: F.array_contains("bag_b", x["cls"]))
+    across = across.join(u, "grp_a").join(v, "grp_b").withColumn("c", F.aggregate(both, F.lit(0).cast("long"), lambda s, x: s + x["weight"]))
     across = across.where(reaches(F.col("c"), F.col("behind"))).select("grp_a", "grp_b").union(near).distinct()
     across = across.join(a, "grp_a").join(b, "grp_b").select(*pair)
     mixed = placed.join(where.where("lo <> hi").select("grp"), "grp")
