@@ -58,7 +58,10 @@ class Node:
         parts = {p for n in named for p in re.split(r"[-_]", n)}
         self.head = name == "header" or bool(parts & _HEADS)
         unseen = "hidden" in found or found.get("aria-hidden") == "true"
-        self.bad = name in DROPPED or unseen or name not in ("body", "html", "article", "main") and bool(parts & MARKS)
+        marked = unseen or name not in ("body", "html", "article", "main") and bool(parts & MARKS)
+        self.bad = name in DROPPED or marked
+        if marked:  # never one kind with unmarked neighbours; no class holds a space
+            self.sign = f"{name}.{named[0] if named else ''} !"
 
 
 def parse(text: str) -> Node:

@@ -255,6 +255,15 @@ def test_extraction(spark):
     assert (rows[20], rows[21], rows[22], rows[23]) == ("", "", "Only this", "cut off he")
 
 
+def test_marks_stay_with_their_own_elements(spark):
+    """One marked or hidden block must not take unmarked ones of its class with it, on its page or its host's others."""
+    plain = "<article><div class='block'>Story %s</div><p>More %s</p></article>"
+    marked = "<article><div class='block'>Story %s</div><div class='block ad'>Buy</div><p>More %s</p><p hidden>Unseen</p></article>"
+    pages = [(i, f"http://m.example.org/{i}", (marked if i == 3 else plain) % (i, i)) for i in range(6)]
+    rows = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert rows == {i: f"Story {i}\nMore {i}" for i in range(6)}
+
+
 def test_wrapper_expression():
     shown = extract.expression(extract.infer(["<ul><li>a</li><li>b</li></ul>", "<ul><li>c</li></ul><p>x</p>"]))
     assert shown == "<#page><ul>(<li>#</li>)+</ul>(<p>x</p>)?</#page>"
