@@ -1,12 +1,16 @@
 """HTML main-text extraction by wrappers inferred for each host.
 
-Pages become trees of tags and text. For each host a wrapper, a union-free regular expression over tags and
-text slots, is inferred from a few of its pages: within a page, neighbours of one kind fold into a repeated
-group; page after page is then aligned with the wrapper, level by level, where text that differs becomes a
-slot, text that stays the same a constant, and what one side lacks an optional group. The wrapper's slots
-that lie in the article are the ones to read; its slots and constants in menus, headers, footers, sidebars,
-notices, adverts, forms and comments are not. Every page of the host is then read through the wrapper; a
-part of a page that the wrapper does not know is judged by the same rule as the wrapper's parts.
+Pages become trees of tags and text. All pages of a host are aligned by the path of kinds (tag, first class,
+marks) from the page to each block of text. What differs from page to page is a slot, what stays the same on
+every page that has it a constant, several blocks of one path on a page a repeated group. Slots are main
+text. A constant is not, nor is a repeated group outside an article whose blocks are all constant; inside
+one, a repeated group is a slot, as its blocks differ among themselves. Menus, headers, footers, sidebars,
+notices, adverts, forms and comments that their tags or classes name never are.
+
+What a path holds does not depend on the order in which pages are aligned, so it is counted over all pages
+at once. ``wrappers`` shows the same as a union-free regular expression, aligned level by level (within a
+page neighbours of one kind fold into a repeated group, what one side lacks becomes optional) from a few
+pages of each host; it is for reading and decides nothing.
 """
 
 from __future__ import annotations
@@ -17,11 +21,18 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Pages of a host that its wrapper is inferred from at most: those first by a hash of their id.
+from .common import settle
+
+#: Pages of a host that its shown expression is inferred from at most: those first by a hash of their id.
 PAGES_A_WRAPPER = 6
+#: Different pages that must agree before a text counts as constant: two may be copies of one article.
+PAGES_A_CONSTANT = 3
+#: Paths that a task holds at once before it passes on what it has counted.
+PATHS = 50_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object select".split())
@@ -215,39 +226,44 @@ def _has(part: list, names: tuple) -> bool:
     return len(part) == 5 and (part[0].split(".")[0] in names or any(_has(p, names) for p in part[4]))
 
 
-def main_text(page: str, known: dict[str, bool]) -> str:
-    """The page's main text: blocks in page order, joined by one line feed."""
+def blocks_of(page: str) -> list[tuple[str, str]]:
+    """(path, text) of each block that the page's own tags and marks leave, in page order."""
     root = parse(page)
     framed = _framed(root)
-    blocks: list[str] = []
+    blocks: list[tuple[str, str]] = []
     here: list[str] = []
 
-    def flush() -> None:
+    def flush(block: str) -> None:
         if here:
             if told := " ".join(entities.unescape("".join(here)).split()):
-                blocks.append(told)
+                blocks.append((block, told))
             here.clear()
 
-    def walk(node: Node, path: str, inside: bool, bad: bool) -> None:
+    def walk(node: Node, path: str, block: str, inside: bool, bad: bool) -> None:
         inside = inside or node.name in ("article", "main")
         bad = bad or node.bad or node.head and not inside
+        own = path if node.name in BLOCKS else block
         if node.name in BLOCKS:
-            flush()
+            flush(block)
         for x in node.inside:
             if isinstance(x, str):
-                # the wrapper's verdict holds for pages of its frame; a broken page may have lost its article
-                if not bad and known.get(path, True) and (inside or not framed):
+                if not bad and (inside or not framed):
                     here.append(x)
             elif x.name == "br":
                 here.append("\n") if here else None
             elif not (bad and x.bad):
-                walk(x, f"{path}/{x.sign}", inside, bad)
+                walk(x, f"{path}/{x.sign}", own, inside, bad)
         if node.name in BLOCKS:
-            flush()
+            flush(own)
 
-    walk(root, "", False, False)
-    flush()
-    return "\n".join(blocks)
+    walk(root, "", "", False, False)
+    flush("")
+    return blocks
+
+
+def main_text(page: str, known: dict[str, bool]) -> str:
+    """The page's main text: blocks in page order, joined by one line feed, but those whose path ``known`` denies."""
+    return "\n".join(told for path, told in blocks_of(page) if known.get(path, True))
 
 
 def _framed(node: Node) -> bool:
@@ -291,6 +307,50 @@ def wrappers(pages: DataFrame, page: str = "page_id", url: str = "url", html: st
     return ordered.mapInArrow(run, "host string, expression string, paths string")
 
 
+def constants(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, paths): as JSON, the paths that are constant on all pages of a host; hosts without any are left out.
+
+    Copies of a page count as one. A host whose every path is constant has no slot that would tell its main
+    text, so nothing of it is denied.
+    """
+    own = pages.where(F.col(html).isNotNull()).select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"), F.xxhash64(html).alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], list] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = [(*key, lo, hi, many, list(seen)) for key, (lo, hi, many, seen) in held.items()]
+            held.clear()
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "path", "lo", "hi", "many", "seen"])
+
+        for batch in batches:
+            for host, page, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                texts: dict[str, list[str]] = {}
+                for path, told in blocks_of(page):
+                    texts.setdefault(path, []).append(told)
+                for path, told in texts.items():
+                    value, many = xxhash.xxh3_64_intdigest("\n".join(told)) - (1 << 63), len(told) > 1
+                    if (now := held.get((host, path))) is None:
+                        held[host, path] = [value, value, many, {h}]
+                        continue
+                    now[0], now[1], now[2] = min(now[0], value), max(now[1], value), now[2] or many
+                    if len(now[3]) < PAGES_A_CONSTANT:
+                        now[3].add(h)
+                if len(held) > PATHS:
+                    yield out()
+        yield out()
+
+    facts = own.mapInArrow(run, "host string, path string, lo bigint, hi bigint, many boolean, seen array<bigint>")
+    enough = F.size(F.array_distinct(F.flatten(F.collect_list("seen")))) >= PAGES_A_CONSTANT
+    inside = F.col("path").rlike("/(article|main)(/|[.]|$)")
+    facts = facts.groupBy("host", "path").agg((F.min("lo").eqNullSafe(F.max("hi")) & enough).alias("same"), F.max("many").alias("many"))
+    facts = facts.select("host", "path", (F.col("same") & ~(F.col("many") & inside)).alias("constant"))
+    told = facts.groupBy("host").agg(F.collect_list(F.when(F.col("constant"), F.col("path"))).alias("paths"), F.bool_and("constant").alias("all"))
+    return told.where(~F.col("all") & (F.size("paths") > 0)).select("host", F.to_json("paths").alias("paths"))
+
+
 def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text) of every page's main text, from its whole html.
 
@@ -298,7 +358,7 @@ def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
     empty string; repeated rows are pages of their own; an empty table stays empty; further columns are
     ignored. Character references are decoded, white space within a block becomes one space.
     """
-    known = wrappers(pages, page, url, html).select("host", "paths")
+    known = settle(constants(pages, url, html))
     rows = pages.select(F.col(page).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +369,7 @@ def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
                 if paths not in read:
                     if len(read) > 1000:
                         read.clear()
-                    read[paths] = json.loads(paths) if paths else {}
+                    read[paths] = dict.fromkeys(json.loads(paths), False) if paths else {}
                 out.append(main_text(text, read[paths]) if text else "")
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(out, pa.string())], ["page_id", "url", "text"])
 

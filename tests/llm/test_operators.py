@@ -264,6 +264,28 @@ def test_marks_stay_with_their_own_elements(spark):
     assert rows == {i: f"Story {i}\nMore {i}" for i in range(6)}
 
 
+def test_constants_of_a_host_are_not_main_text(spark):
+    """Texts that all pages of a host share go, without any mark, outside an article and inside; slots stay."""
+    menu = "<div class='x'><ul><li>Home</li><li>About us</li></ul></div>"
+    open_ = menu + "<div class='y'>We value your privacy</div><div class='z'><p>Story %s</p><p>More %s</p></div>"
+    framed = "<article><div>Read our magazine</div><h1>Title %s</h1><p>Body %s</p></article>"
+    pages = [(i, f"http://open.example.org/{i}", open_ % (i, i)) for i in range(9)]
+    pages += [(20 + i, f"http://framed.example.org/{i}", framed % (i, i)) for i in range(9)]
+    pages += [(40 + i, f"http://copies.example.org/{i}", open_ % (1, 1)) for i in range(9)]  # nothing tells what varies
+    pages += [(60 + i, f"http://two.example.org/{i}", open_ % (i, i)) for i in range(2)]
+    # the eighth page alone differs: a constant of some pages is a slot of all
+    pages += [(80 + i, f"http://late.example.org/{i}", f"<div class='y'>{'Other' if i == 7 else 'Usual'} news</div><p>Story {i}</p>") for i in range(9)]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(4)
+    rows = {r.page_id: r.text for r in extract.extract(frame).collect()}
+    whole = "Home\nAbout us\nWe value your privacy\nStory {0}\nMore {0}"
+    for i in range(9):
+        assert rows[i] == f"Story {i}\nMore {i}"
+        assert rows[20 + i] == f"Title {i}\nBody {i}"
+        assert rows[40 + i] == whole.format(1)
+        assert rows[80 + i] == f"{'Other' if i == 7 else 'Usual'} news\nStory {i}"
+    assert [rows[60], rows[61]] == [whole.format(0), whole.format(1)]
+
+
 def test_wrapper_expression():
     shown = extract.expression(extract.infer(["<ul><li>a</li><li>b</li></ul>", "<ul><li>c</li></ul><p>x</p>"]))
     assert shown == "<#page><ul>(<li>#</li>)+</ul>(<p>x</p>)?</#page>"
