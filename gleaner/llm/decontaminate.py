@@ -181,7 +181,7 @@ def _covered(spans):
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, size: int = 10, doc_id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
+    docs: DataFrame, benchmark: DataFrame, size: int = 10, doc_id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", keys: bool = False
 ) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, contaminated) for every document.
 
@@ -189,6 +189,7 @@ def contamination(
     strings) of the items with such windows. Null and empty texts have no words and no windows; repeated
     items count once by id, a null id as an empty string; repeated documents are rows of their own. An
     empty benchmark leaves every document clean, an empty table stays empty; further columns are ignored.
+    ``keys`` adds the text's 128-bit key (h1, h2), which tells rows of one doc_id apart.
     """
     windows = settle(windows_of(benchmark, size, item, item_text))
     distinct = windows.groupBy("whash", "wlen").agg(F.first("shingles").alias("shingles"))
@@ -221,4 +222,5 @@ def contamination(
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         (hit > 0).alias("contaminated"),
+        *(["h1", "h2"] if keys else []),
     )

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bit_filter, components, in_filter, rolling, scratch, settle, word_hashes
+from .common import as_bytes, bit_filter, components, in_filter, rolling, scratch, settle, text_key, word_hashes
 
 BUCKETS = 1 << 16
 #: Sizes that a pivot's key tells apart; larger sets share the last one.
@@ -70,13 +70,14 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, sig, grp, sel, prefix): a group's prefix once a task, null in its other rows there."""
+    """(doc_id, further columns but text, n, sig, grp, sel, prefix): a group's prefix once a task, null in its other rows there."""
     counts = _frequencies(docs, k)
     rank = np.empty(BUCKETS, np.uint64)
     rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
     usual = counts.mean() + 3 * np.sqrt(counts.mean())
     rare_rank = int((counts <= usual).sum())
     sent = docs.sparkSession.sparkContext.broadcast(rank)
+    own_names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = sent.value, set()
@@ -101,10 +102,10 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 prefixes.append(None if group in seen else prefix.astype(np.int64))
                 seen.add(group)
             arrays = (pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(groups, pa.int64()), pa.array(sels, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *arrays], ["doc_id", "n", "sig", "grp", "sel", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in own_names), *arrays], [*own_names, "n", "sig", "grp", "sel", "prefix"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return settle(docs.mapInArrow(run, f"doc_id {kind}, n int, sig binary, grp bigint, sel bigint, prefix array<bigint>"))
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in own_names)
+    return settle(docs.mapInArrow(run, f"{kinds}, n int, sig binary, grp bigint, sel bigint, prefix array<bigint>"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -163,11 +164,31 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     component has another. An empty table stays empty; further columns are ignored.
     """
     with scratch(docs.sparkSession):
-        return settle(_joined(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), k, *threshold), outlast=True)
+        own, named = _joined(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), k, *threshold)
+        rows = own.select("doc_id", "n", "sig").join(named.select("sig", "component_id"), "sig", "left")
+        return settle(rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), outlast=True)
+
+
+def near_copies(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
+    """(doc_id, h1, h2, first) for every document, a row told by its doc_id and its text's 128-bit key.
+
+    ``first`` marks the row that stands for its component: the one with the least doc_id (null last), and
+    of its texts the one with the least key. Repeats of that row are marked too; documents without words
+    stand for themselves.
+    """
+    with scratch(docs.sparkSession):
+        own, named = _joined(docs.select("doc_id", *text_key(F.col("text")), "text"), k, *threshold)
+        own = own.select("sig", "doc_id", "h1", "h2").withColumn("key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2"))
+        known = named.select("sig", "root")
+        least = own.where("sig IS NOT NULL").groupBy("sig").agg(F.min("key").alias("least")).join(known, "sig").groupBy("root").agg(F.min("least").alias("least"))
+        rows = own.join(known.join(least, "root").select("sig", "least"), "sig", "left")
+        return settle(rows.select("doc_id", "h1", "h2", (F.col("least").isNull() | F.col("key").eqNullSafe(F.col("least"))).alias("first")), outlast=True)
 
 
-def _joined(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of _prefixes(), and (sig, root, component_id) of each distinct set."""
     own = _prefixes(docs, k, num, den)
+    docs = docs.select("doc_id", "text")
     classes = settle(own.where("n > 0").groupBy("sig", "grp", "sel", "n").agg(F.min("doc_id").alias("rep")))
 
     postings = own.where("prefix IS NOT NULL").select("grp", "sel", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -250,7 +271,4 @@ def _joined(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     named = classes.join(roots, classes.sig == roots.node, "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "root").select("sig", "component_id")
-    return own.select("doc_id", "n", "sig").join(named, "sig", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    return own, named.join(least, "root").select("sig", "root", "component_id")

@@ -358,3 +358,19 @@ def test_pipeline(spark):
         else:
             assert {i for i, _ in rows} <= {i for i, _ in had}
     check_packed(P.STAGES[-1][1](spark, kept, SF).collect(), [(r.doc_id, r.text) for r in kept.collect()])
+
+
+def test_pipeline_judges_rows_not_ids(spark, tmp_path):
+    """A verdict on one row of a null or repeated doc_id leaves its other rows alone."""
+    import corpus_pipeline as P
+
+    copy, leak = " ".join(words("w", 60)), " ".join(words("item", 20))
+    clean = [" ".join(words(f"own{i}_", 40)) for i in range(4)]
+    rows = [(1, copy), (None, copy), (None, clean[0]), (None, clean[1]), (2, copy + " end"), (2, clean[2]), (None, leak), (3, leak + " more"), (3, clean[3]), (None, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOC).repartition(3)
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    told = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    one = P.keep_one_of_near_copies(spark, docs, str(tmp_path))
+    # two near copies and, of the leaks (16 of 17 shingles shared), the one without an id
+    assert told(one) == Counter(r for r in rows if r not in [(None, copy), (2, copy + " end"), (None, leak)])
+    assert told(P.drop_contaminated(spark, docs, str(tmp_path))) == Counter(r for r in rows if r not in [(None, leak), (3, leak + " more")])
