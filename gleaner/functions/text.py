@@ -163,7 +163,7 @@ def long_query_terms(query: Column, excerpt: Column, planned: Column | None = No
     return let(lexical_terms(text, priority_terms), after)
 
 
-def query_terms(query: Column, max_chars: int = 8000, planned: Column | None = None, most: int = 160) -> Column:
+def query_terms(query: Column, max_chars: int = 16_000, planned: Column | None = None, most: int = 160) -> Column:
     """Search terms of a query: the short or the long way, by its length and its number of terms."""
     planned = planned if planned is not None else strings([])
     is_long = (F.length(query) > max_chars) | (F.size(lexical_terms(query, most + 1)) > most)

@@ -30,7 +30,7 @@ class EngineConfig:
     candidate_limit: int = 300
     max_output_tokens: int = 32_000
     max_output_items: int = 100
-    query_model_max_chars: int = 8_000
+    query_model_max_chars: int = 16_000
     vector_min_similarity: float = 0.35
     vector_only_min_similarity: float = 0.65
     search_concurrency: int = 32

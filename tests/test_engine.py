@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions import text
 from gleaner.plans.config import EngineConfig
-from gleaner.plans.engine import ConflictError, Engine
+from gleaner.plans.engine import ConflictError, Engine, plan_queries
 from gleaner.sources import schemas
 
 NEW_YEAR = 1704067200000
@@ -175,3 +176,13 @@ def test_stream(spark, tmp_path):
     frame.withColumn("request_id", F.lit("r2")).coalesce(1).write.mode("append").json(str(source))
     run()
     assert e.revision("u") == 2
+
+
+def test_questions_up_to_16000_characters_are_read_whole(spark):
+    query = "alpha " + "filler " * 900 + "middle " + "filler " * 900 + "omega"
+    assert 8000 < len(query) <= 16_000
+    frame = spark.createDataFrame([(1, "u", query, None, 5)], "query_id bigint, user_id string, query string, options array<string>, top_k int")
+    row = plan_queries(frame, EngineConfig()).select("bounded", "terms").collect()[0]
+    assert row.bounded == query
+    assert row.terms[0] == "alpha" and "middle" in row.terms
+    assert frame.select(text.query_terms(F.col("query")).alias("t")).collect()[0].t == row.terms
