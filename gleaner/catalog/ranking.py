@@ -88,6 +88,28 @@ def phrase_bonus(spark, sf):
     return q.join(docs, "k").withColumn("bonus", text.phrase_bonus(F.col("query"), F.col("content"))).groupBy("query_id").agg(F.sum("bonus").alias("bonus"))
 
 
+def phrase_bonus_all(spark, sf):
+    """Whether a question stands in a document, word for word, over every question and document.
+
+    White space bounds a question's inner words on both sides, so a document that holds the question has
+    each of them as a word: pairs meet at the question's rarest one. Questions without inner words meet every document.
+    """
+    split = lambda c: F.split(c, "\\s+")
+    docs = table(spark, sf, "documents").select(F.col("text").alias("content"))
+    q = settle(questions(spark, sf).withColumn("own", split(text.normalize(F.col("query")))))
+    inner = q.where(F.size("own") > 2).select("query_id", "query", F.explode(F.array_distinct(F.expr("slice(own, 2, size(own) - 2)"))).alias("word"))
+    held = docs.select(F.explode(F.array_distinct(split(text.normalize(F.col("content"))))).alias("word"))
+    often = held.join(F.broadcast(inner.select("word").distinct()), "word").groupBy("word").agg(F.count("*").alias("n"))
+    # a word that no document has is the rarest: its question meets none
+    least = inner.join(often, "word", "left").groupBy("query_id", "query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "word"))["word"].alias("word"))
+    least = settle(least)
+    worded = docs.withColumn("word", F.explode(F.array_distinct(split(text.normalize(F.col("content")))))).join(F.broadcast(least), "word")
+    short = docs.crossJoin(F.broadcast(q.where(F.size("own") <= 2).select("query_id", "query")))
+    pairs = worded.select("query_id", "query", "content").unionByName(short.select("query_id", "query", "content"))
+    found = pairs.withColumn("bonus", text.phrase_bonus(F.col("query"), F.col("content"))).groupBy("query_id").agg(F.sum("bonus").alias("bonus"))
+    return q.select("query_id").distinct().join(found, "query_id", "left").select("query_id", F.coalesce("bonus", F.lit(0.0)).alias("bonus"))
+
+
 def term_coverage(spark, sf):
     q = asked(spark, sf).select("query_id", "user_id", "terms")
     rows = q.join(memories(spark, sf).select("user_id", "memory_id", "content"), "user_id")
@@ -149,7 +171,7 @@ def end_to_end_search(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        is_later, suppress_superseded, suppress_volume, time_score, rank_rule_score, rerank_merge, diversity_select, phrase_bonus, term_coverage, lexical_overlap, render_line,
+        is_later, suppress_superseded, suppress_volume, time_score, rank_rule_score, rerank_merge, diversity_select, phrase_bonus, phrase_bonus_all, term_coverage, lexical_overlap, render_line,
         truncate_line, neighbor_windows, pack_windows, recall_at_k, hit_rate, end_to_end_search,
     )
 }
