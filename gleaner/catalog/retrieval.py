@@ -55,6 +55,28 @@ def vector_threshold(spark, sf):
     return hits.groupBy("query_id").agg(F.count("*").alias("hits"))
 
 
+def _all_vectors(spark, sf):
+    """Every vector as one user's, those of ids divisible by 100 as queries."""
+    rows, _, times = _vectors(spark, sf)
+    rows = rows.withColumn("user_id", F.lit("u"))
+    q = times.where("occurred_at % 100 = 0").join(rows, "memory_id").select(F.col("occurred_at").alias("query_id"), "user_id", "model", "vector")
+    return rows, q, times
+
+
+def vector_search_all(spark, sf):
+    rows, q, times = _all_vectors(spark, sf)
+    hits = retrieve.vector_search(F.broadcast(q.withColumn("min_similarity", F.lit(-1.0))), rows, times, 10)
+    return hits.select("query_id", "memory_id", F.round("score", 6).alias("score"), "rank")
+
+
+def vector_threshold_all(spark, sf):
+    """Queries divisible by 200 count as having lexical hits."""
+    rows, q, times = _all_vectors(spark, sf)
+    lexical = q.where("query_id % 200 = 0").select("query_id", F.lit("x").alias("memory_id"))
+    hits = retrieve.vector_search(F.broadcast(retrieve.minimum_similarity(q, lexical)), rows, times, LIMIT)
+    return hits.groupBy("query_id").agg(F.count("*").alias("hits"))
+
+
 def date_search(spark, sf):
     """Each user's rows on the day of their first event."""
     rows = timed(spark, sf)
@@ -118,7 +140,7 @@ def fallback_character(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_search, bm25_user_scope, prefix_search, substring_fallback, vector_search, vector_threshold, date_search, recent, session_positions, neighbors, rrf_fuse,
+        bm25_search, bm25_user_scope, prefix_search, substring_fallback, vector_search, vector_threshold, vector_search_all, vector_threshold_all, date_search, recent, session_positions, neighbors, rrf_fuse,
         candidate_admission, expand_neighbors, vector_is_sound, fallback_character,
     )
 }

@@ -1,5 +1,9 @@
 """Queries over all rows, against brute force on the same tables."""
 
+from collections import defaultdict
+
+import numpy as np
+
 from gleaner import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +24,20 @@ def test_phrase_bonus_meets_every_document(spark, tmp_path):
     want = {i: float(sum(len(norm(t)) >= 4 and norm(t) in d for d in held)) for i, t in items}
     assert want[9001] >= 2 and want[9005] == 0
     assert {r.query_id: r.bonus for r in RUN["phrase_bonus_all"](spark, str(tmp_path)).collect()} == want
+
+
+def test_vector_queries_meet_every_vector(spark):
+    rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    found, counts = defaultdict(dict), {r.query_id: r.hits for r in RUN["vector_threshold_all"](spark, SF).collect()}
+    for r in RUN["vector_search_all"](spark, SF).collect():
+        found[r.query_id][r["rank"]] = (int(r.memory_id[1:]), r.score)
+    queries = [i for i in rows if i % 100 == 0]
+    assert set(found) == set(queries)
+    for q in queries:
+        cosine = {i: round(float(v @ rows[q] / np.sqrt((v @ v) * (rows[q] @ rows[q]))), 9) for i, v in rows.items()}
+        best = sorted(cosine, key=lambda i: (-cosine[i], -i))[:10]
+        assert [found[q][k][0] for k in range(1, 11)] == best
+        assert np.allclose([found[q][k][1] for k in range(1, 11)], [cosine[i] for i in best], atol=2e-6)
+        least = 0.35 if q % 200 == 0 else 0.65
+        assert counts.get(q, 0) == min(300, sum(c >= least for c in cosine.values()))
+    assert any(i % 2 for q in queries for i, _ in found[q].values())
