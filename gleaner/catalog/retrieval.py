@@ -103,6 +103,13 @@ def neighbors(spark, sf):
     return candidates.neighbours(_seeds(spark, sf), memories(spark, sf)).select("query_id", "memory_id", "distance", "seed_rank")
 
 
+def neighbors_all(spark, sf):
+    """Every turn as the only seed of its own query."""
+    m = memories(spark, sf)
+    seeds = m.select(F.col("row_id").alias("query_id"), "user_id", "memory_id", F.lit(1).cast("long").alias("rank"))
+    return candidates.neighbours(seeds, m).select("query_id", "memory_id", "distance", "seed_rank")
+
+
 def _channels(spark, sf):
     m = settle(memories(spark, sf))
     q = settle(asked(spark, sf))
@@ -140,7 +147,7 @@ def fallback_character(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_search, bm25_user_scope, prefix_search, substring_fallback, vector_search, vector_threshold, vector_search_all, vector_threshold_all, date_search, recent, session_positions, neighbors, rrf_fuse,
+        bm25_search, bm25_user_scope, prefix_search, substring_fallback, vector_search, vector_threshold, vector_search_all, vector_threshold_all, date_search, recent, session_positions, neighbors, neighbors_all, rrf_fuse,
         candidate_admission, expand_neighbors, vector_is_sound, fallback_character,
     )
 }

@@ -1,10 +1,11 @@
 """Queries over all rows, against brute force on the same tables."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
 from gleaner import catalog
+from gleaner.catalog.data import memories
 
 SF = "/root/testdata/sf0.001"
 RUN = catalog.queries()
@@ -41,3 +42,14 @@ def test_vector_queries_meet_every_vector(spark):
         least = 0.35 if q % 200 == 0 else 0.65
         assert counts.get(q, 0) == min(300, sum(c >= least for c in cosine.values()))
     assert any(i % 2 for q in queries for i, _ in found[q].values())
+
+
+def test_every_turn_has_its_neighbours(spark):
+    sessions = defaultdict(list)
+    for r in memories(spark, SF).select("user_id", "session_id", "row_id", "memory_id").collect():
+        sessions[r.user_id, r.session_id].append((r.row_id, r.memory_id))
+    want = Counter()
+    for own in map(sorted, sessions.values()):
+        for i, (row, _) in enumerate(own):
+            want.update((row, own[j][1], abs(i - j), 0) for j in range(max(0, i - 1), min(len(own), i + 2)))
+    assert Counter(map(tuple, RUN["neighbors_all"](spark, SF).collect())) == want
