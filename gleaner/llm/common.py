@@ -7,10 +7,12 @@ the folder that ``spark.checkpoint.dir`` names.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a membership filter that goes to every task: 1 MiB, whatever the input's size.
-FILTER_BITS = 1 << 23
+#: Bits of a membership filter that goes to every task: least and most (16 MiB), and bits a key in between.
+FILTER_LEAST, FILTER_MOST, FILTER_SPREAD = 1 << 20, 1 << 27, 16
+#: Rows that a task's Python code sees at once.
+STEP = 1000
 #: Distinct words whose hashes a task remembers at once.
 CACHE_WORDS = 150_000
 #: Words handled at once by the array operators; longer texts are handled alone.
@@ -27,43 +31,82 @@ CHUNK_WORDS = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's, or one of our own where none is set."""
+    """The folder that driver and executors share; only a session of one machine gets one of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="gleaner-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
-_SCRATCH: list[list[str]] = []
+#: Lists of tables to remove, innermost last; each thread has its own.
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def settle(df: DataFrame, outlast: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: computed once, safe from lost executors.
 
     Within scratch() the table goes when that ends; with ``outlast``, when the scratch() around that one ends,
-    or stays, as checkpoints do, where there is none.
+    or stays, as checkpoints do, where there is none. ``discard`` removes it earlier.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    held = _SCRATCH[: -1 if outlast else None]
+    held = _SCRATCH.get()[: -1 if outlast else None]
     if held:
         held[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def _remove(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(df: DataFrame | None) -> None:
+    """Remove the table that settle() wrote for ``df``; nothing lazy may still need it."""
+    if df is not None and getattr(df, "settled_at", None):
+        _remove(df.sparkSession, df.settled_at)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that settle() writes meanwhile are removed at the end; nothing lazy may still need them."""
     own: list[str] = []
-    _SCRATCH.append(own)
+    token = _SCRATCH.set((*_SCRATCH.get(), own))
     try:
         yield
     finally:
-        _SCRATCH.remove(own)
+        _SCRATCH.reset(token)
         for name in own:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _remove(spark, name)
+
+
+def _trim() -> None:
+    """Give memory that is not in use back to the machine: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not a glibc
+        pass
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with at most STEP rows a batch, whatever the session's setting; freed memory is given back."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(b.slice(at, STEP) for b in batches for at in range(0, max(b.num_rows, 1), STEP))
+        finally:
+            _trim()
+
+    return df.mapInArrow(bounded, schema)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -119,41 +162,57 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def bit_filter(keys: DataFrame, key) -> np.ndarray:
-    """Membership bits of the 64-bit ``key`` column: FILTER_BITS whatever the number of keys.
+    """Membership bits of the 64-bit ``key`` column of a written table: at most FILTER_MOST, 16 MiB.
 
     A key that was put in is always found; others are found by chance, more often the more keys there are.
-    It only spares work: every use is followed by an exact join. The bits are merged by the executors and
-    reach the driver as at most FILTER_BITS / 64 rows.
+    It only spares work: every use is followed by an exact join, which the input's size bounds. The bits are
+    merged by the executors and reach the driver as at most FILTER_MOST / 64 rows.
     """
-    bit = F.pmod(key, F.lit(FILTER_BITS))
+    size = 1 << int(np.clip(FILTER_SPREAD * max(keys.count(), 1), FILTER_LEAST, FILTER_MOST) - 1).bit_length()
+    bit = F.pmod(key, F.lit(size))
     words = (
         keys.select(F.shiftright(bit, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
         .toArrow()
     )
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[words["w"].to_numpy()] = words["b"].to_numpy()
     return out
 
 
 def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the signed 64-bit ``keys`` may be in the filter."""
-    at = np.mod(keys, FILTER_BITS)
+    at = np.mod(keys, len(bits) * 64)
     return (bits[at >> 6] >> (at & 63)) & 1 == 1
 
 
+def maybe_among(docs: DataFrame, bits, yes: bool = True) -> DataFrame:
+    """Rows of ``docs`` (with a column h1) whose h1 may be in the broadcast filter; with ``yes`` False the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(bits.value, batch["h1"].to_numpy()) == yes))
+
+    return in_batches(docs, run, docs.schema)
+
+
+def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(h1, h2, text) of each distinct text of ``docs``; only texts that stand there twice are shuffled."""
+    keyed = docs.select(*text_key(F.col(text)), F.col(text).alias("text"))
+    copies = settle(keyed.select("h1", "h2").groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1"))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(copies, F.col("h1")))
+    # a written table, so that a task that runs again sees the same rows in the same order
+    one_each = settle(maybe_among(keyed, bits).dropDuplicates(["h1", "h2"]))
+    return maybe_among(keyed, bits, False).unionByName(one_each)
+
+
 def text_key(text) -> list:
     """Two 64-bit hash columns, h1 and h2, that stand for a whole text (null as empty)."""
     text = F.coalesce(text, F.lit(""))
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
 
 
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b), any orderable type: (node, root), root the least node.
 

@@ -1,21 +1,24 @@
 """N-gram Jaccard join by grouped prefixes.
 
-A document is the set of its word shingles. Shingles are ordered by rarity (how often their bucket of 65,536
-occurs in all documents, then hash), so two sets that are similar enough share a shingle within each one's
-rarest ``n - ceil(threshold * n) + 1``, its prefix. Documents with identical prefixes and size collapse into
-one group; prefixes of groups, not of documents, are joined. Group pairs that pass the filters are expanded
-into their members, distinct sets, and every candidate pair of sets is verified exactly on whole texts.
+A document is the set of its word shingles. Shingles are ordered by rarity: first those that only one text
+has, found exactly (meet.py), then the others by the logarithm of how often their bucket of BUCKETS occurs,
+then by hash. Two sets that are similar enough share a shingle within each one's first
+``n - ceil(threshold * n) + 1``, its prefix; what only one text has is shared with nothing, so a text with
+that many such shingles is done with, and only the shared rest of a prefix is ever joined. Documents with
+identical prefixes and size collapse into one group; prefixes of groups, not of documents, are joined. Group
+pairs that pass the filters are expanded into their members, distinct sets, and every candidate pair of sets
+is verified exactly on the whole sets.
 
 Components need links enough to connect them, not every pair of a large group of copies. So candidates come
-in two rounds: each group with the shingle's pivot (the group whose prefix has the fewest rare shingles),
-which connects a group of copies with as many pairs as members; then, for shingles whose groups still lie in
-different components, all pairs of groups across those components, under length and positional bounds. Pairs
-inside one component can add nothing. No candidate is dropped, so no link between components is missed.
+in rounds: first each group with one pivot, of those of its shingles the one that shares the most of its
+prefix, which costs one pair a group; then, for shingles whose groups still lie in different components, all
+pairs of groups across those components that length, position and the number of shared prefix shingles
+allow. Pairs inside one component can add nothing. No candidate is dropped, so no link between components is
+missed.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bit_filter, components, in_filter, rolling, scratch, settle, text_key, word_hashes
+from .common import as_bytes, bit_filter, components, distinct_texts, in_batches, maybe_among, rolling, scratch, settle, text_key, word_hashes
+from .meet import shared_units
 
-BUCKETS = 1 << 16
-#: Sizes that a pivot's key tells apart; larger sets share the last one.
-SIZES = (1 << 16) - 1
-#: Groups that share a shingle, above which pairs of their sizes are filtered before pairs of groups.
-CROWD = 64
-#: Texts whose words are held at once.
-STEP = 1000
-_LOW = np.uint64((1 << 48) - 1)
+#: Buckets that shared shingles are counted in for their order: 1 MiB goes to every task.
+BUCKETS = 1 << 20
+#: Rounds of one pivot a group, before all pairs across components.
+ROUNDS = 1
 
 
 def _runs(text: bytes | None, k: int) -> np.ndarray:
@@ -51,108 +51,174 @@ def signature(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
-def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """Occurrences of each bucket of shingles in all documents."""
+def _sized(docs: DataFrame, k: int) -> DataFrame:
+    """``docs`` with n and sig, the size and the 128-bit key of each set, instead of text."""
+    names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                own = [_runs(t, k) for t in as_bytes(batch["text"].slice(at, STEP))]
-                counts += np.bincount((np.concatenate(own) >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array([counts], pa.list_(pa.int64()))], ["counts"])
-
-    rows = docs.select("text").mapInArrow(run, "counts array<bigint>").select(F.posexplode("counts").alias("b", "n"))
-    rows = rows.groupBy("b").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
-    out[rows["b"].to_numpy()] = rows["n"].to_numpy()
-    return out
+            own = [shingles(t, k) for t in as_bytes(batch["text"])]
+            arrays = (pa.array([len(s) for s in own], pa.int32()), pa.array([signature(s) if len(s) else None for s in own], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *arrays], [*names, "n", "sig"])
+
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
+    return in_batches(docs, run, f"{kinds}, n int, sig binary")
+
+
+def _sets(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(sig, n, own, units) of the sets of which at least the threshold's share of shingles is in other texts too.
 
+    ``own`` is the sorted set, ``units`` the places of its shared shingles, 32 bits each.
+    """
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def entries(text: bytes | None):
+        own = shingles(text, k)
+        return (own, np.arange(len(own), dtype=np.uint32), None, len(own)) if len(own) else None
 
-def _prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, further columns but text, n, sig, grp, sel, prefix): a group's prefix once a task, null in its other rows there."""
-    counts = _frequencies(docs, k)
-    rank = np.empty(BUCKETS, np.uint64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
-    usual = counts.mean() + 3 * np.sqrt(counts.mean())
-    rare_rank = int((counts <= usual).sum())
-    sent = docs.sparkSession.sparkContext.broadcast(rank)
-    own_names = [c for c in docs.columns if c != "text"]
+    shared = settle(shared_units(texts, entries, total // 6, least=(num, den)))
+    bits = texts.sparkSession.sparkContext.broadcast(bit_filter(shared, F.col("h1")))
+    near = maybe_among(texts, bits).join(shared, ["h1", "h2"]).select("text", "units")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, seen = sent.value, set()
         for batch in batches:
-            sizes, sigs, groups, sels, prefixes = [], [], [], [], []
-            for t in as_bytes(batch["text"]):
-                own = shingles(t, k)
-                n = len(own)
-                sizes.append(n)
-                if not n:
-                    for column in (sigs, groups, sels, prefixes):
-                        column.append(None)
-                    continue
-                p = n - -(-n * num // den) + 1
-                ranked = rank[own >> np.uint64(48)] << np.uint64(48) | own & _LOW
-                prefix = np.sort(np.partition(ranked, p - 1)[:p]) if p < n else np.sort(ranked)
-                group = xxhash.xxh3_64_intdigest(prefix.tobytes(), n)
-                rare = 127 * int((prefix >> np.uint64(48) < rare_rank).sum()) // p
-                sigs.append(signature(own))
-                groups.append(group - (1 << 63))
-                sels.append(rare << 56 | min(n, SIZES) << 40 | group >> 24)
-                prefixes.append(None if group in seen else prefix.astype(np.int64))
-                seen.add(group)
-            arrays = (pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(groups, pa.int64()), pa.array(sels, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in own_names), *arrays], [*own_names, "n", "sig", "grp", "sel", "prefix"])
-
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in own_names)
-    return settle(docs.mapInArrow(run, f"{kinds}, n int, sig binary, grp bigint, sel bigint, prefix array<bigint>"))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (sig_a, rep_a, sig_b, rep_b) whose sets are similar enough: (a, b)."""
-    with scratch(docs.sparkSession):
-        return settle(_similar(docs, pairs, k, num, den), outlast=True)
+            own = [shingles(t, k) for t in as_bytes(batch["text"])]
+            arrays = (
+                pa.array([signature(s) for s in own], pa.binary()),
+                pa.array([len(s) for s in own], pa.int32()),
+                pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64())),
+            )
+            yield pa.RecordBatch.from_arrays([*arrays, batch["units"]], ["sig", "n", "own", "units"])
+
+    return settle(in_batches(near, run, "sig binary, n int, own array<bigint>, units binary").dropDuplicates(["sig"]))
+
 
+def _flat(column: pa.Array) -> list[np.ndarray]:
+    flat, ends = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy()
+    return np.split(flat, (ends[1:-1] - ends[0]))
 
-def _similar(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    pairs = settle(pairs)
-    need = pairs.select(F.col("sig_a").alias("sig"), F.col("rep_a").alias("rep")).union(pairs.select("sig_b", "rep_b")).distinct()
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(need, F.xxhash64("rep")))
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+def _ranks(sets: DataFrame) -> np.ndarray:
+    """Logarithm of how often each bucket of shared shingles occurs in ``sets``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            batch = batch.filter(pa.array(in_filter(bits.value, batch["h"].to_numpy())))
-            sigs = [signature(shingles(t, k)) for t in as_bytes(batch["text"])]
-            new = [s not in seen and not seen.add(s) for s in zip(batch["doc_id"].to_pylist(), sigs, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sigs, pa.binary()), batch["text"]], ["doc_id", "sig", "text"]).filter(pa.array(new, pa.bool_()))
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(wanted, f"doc_id {kind}, sig binary, text string")
-    texts = settle(texts.join(need, "sig").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("sig", "text"))
-    a, b = texts.toDF("sig_a", "text_a"), texts.toDF("sig_b", "text_b")
-    both = pairs.select("sig_a", "sig_b").join(a, "sig_a").join(b, "sig_b").select("sig_a", "text_a", "sig_b", "text_b")
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[bytes, np.ndarray] = OrderedDict()
-
-        def own(sig: bytes, text: bytes) -> np.ndarray:
-            if (s := known.get(sig)) is None:
-                s = known[sig] = shingles(text, k)
-                if len(known) > 256:
-                    known.popitem(last=False)
-            return s
+            if batch.num_rows:
+                shared = [own[np.frombuffer(u, np.uint32)] for own, u in zip(_flat(batch["own"]), batch["units"].to_pylist(), strict=True)]
+                counts += np.bincount((np.concatenate(shared) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["b", "n"])
+
+    rows = in_batches(sets.select("own", "units"), run, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.uint8)
+    out[rows["b"].to_numpy()] = np.log2(np.maximum(rows["n"].to_numpy(), 1)).astype(np.uint8).clip(max=31)
+    return out
+
 
+def _heads(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig, n, grp, sel, skipped, prefix): a set's group, the group's place among pivots, and its prefix.
+
+    ``prefix`` holds only shared shingles, after ``skipped`` ones that no other text has.
+    """
+    ranks = sets.sparkSession.sparkContext.broadcast(_ranks(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            sides = (batch["sig_a"].to_pylist(), as_bytes(batch["text_a"]), batch["sig_b"].to_pylist(), as_bytes(batch["text_b"]))
-            for sa, ta, sb, tb in zip(*sides, strict=True):
-                x, y = own(sa, ta), own(sb, tb)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(den * common >= num * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch["sig_a"], batch["sig_b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            out: list[list] = [[], [], [], []]
+            for own, units in zip(_flat(batch["own"]), batch["units"].to_pylist(), strict=True):
+                at, n = np.frombuffer(units, np.uint32), len(own)
+                shared, alone = own[at], np.delete(own, at)
+                ranked = ranks.value[(shared % np.uint64(BUCKETS)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | shared >> np.uint64(6)
+                prefix = np.sort(ranked)[: n - -(-n * num // den) + 1 - len(alone)]
+                group = xxhash.xxh3_64_intdigest(alone.tobytes() + prefix.tobytes(), n)
+                values = (group - (1 << 63), 127 * len(alone) // n << 56 | group >> 8, len(alone), prefix.astype(np.int64))
+                for column, value in zip(out, values, strict=True):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["sig"], batch["n"], *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["sig", "n", "grp", "sel", "skipped", "prefix"])
+
+    return settle(in_batches(sets.select("sig", "n", "own", "units"), run, "sig binary, n int, grp bigint, sel bigint, skipped int, prefix array<bigint>"))
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (sig_a, sig_b) whose sets are similar enough, as (a, b)."""
+    pairs = pairs.where("sig_a <> sig_b").select(F.least("sig_a", "sig_b").alias("a"), F.greatest("sig_a", "sig_b").alias("b")).distinct()
+    whole = pairs.join(sets.select(F.col("sig").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("own").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return settle(whole.where(den * common >= num * (F.size("x") + F.size("y") - common)).select("a", "b"))
+
+
+def _links(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b) of sets, by their keys: links that connect whatever all links connect."""
+    sets = _sets(texts, k, num, den)
+    heads = _heads(sets, num, den)
+    groups = heads.dropDuplicates(["grp"])
+    postings = groups.select("grp", "sel", "n", F.posexplode("prefix").alias("at", "token"), "skipped").withColumn("pos", F.col("skipped") + F.col("at")).drop("at", "skipped")
+    several = postings.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
+    postings = settle(postings.join(several, "token"))
+    members = heads.select("grp", F.col("sig").alias("sig_a"))
+    firsts = heads.groupBy("grp").agg(F.min("sig").alias("sig_b"))
+    close = den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")
 
-    return both.mapInArrow(similar, "a binary, b binary")
+    links = None
+    candidates = members.join(firsts, "grp").select("sig_a", "sig_b")
+    left = postings.withColumn("comp", F.col("grp"))
+    for r in range(ROUNDS + 1):
+        if r == ROUNDS:
+            candidates = _across(left, groups, members, num, den)
+        else:
+            order = F.col("sel") if r == 0 else F.xxhash64(F.lit(r), F.col("grp"))
+            pivots = left.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.col("grp").alias("grp"), F.col("n").alias("n"), F.col("comp").alias("comp"))).alias("p"))
+            star = left.select("token", F.col("grp").alias("grp_a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a")).join(
+                pivots.select("token", F.col("p.grp").alias("grp_b"), F.col("p.n").alias("n_b"), F.col("p.comp").alias("comp_b")), "token"
+            )
+            star = star.where((F.col("comp_a") != F.col("comp_b")) & close).groupBy("grp_a", "grp_b").agg(F.count("*").alias("c"))
+            star = star.groupBy("grp_a").agg(F.max(F.struct("c", "grp_b")).alias("best")).select("grp_a", F.col("best.grp_b").alias("grp_b"))
+            star = star.join(members.withColumnRenamed("grp", "grp_a"), "grp_a").join(firsts.withColumnRenamed("grp", "grp_b"), "grp_b").select("sig_a", "sig_b")
+            candidates = candidates.union(star) if r == 0 else star
+        found = _verified(sets, candidates, num, den)
+        links = found if links is None else links.union(found)
+        if r == ROUNDS:
+            return links
+        roots = components(links)
+        placed = settle(heads.select("sig", "grp").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "grp", F.coalesce("root", "sig").alias("root")))
+        where = placed.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+        if r == 0:  # members of a group that its first one did not connect: the pairs of those
+            split = placed.join(where.where("lo <> hi").select("grp"), "grp")
+            inside = split.select("grp", F.col("sig").alias("sig_a"), F.col("root").alias("root_a")).join(split.select("grp", F.col("sig").alias("sig_b"), F.col("root").alias("root_b")), "grp")
+            links = links.union(_verified(sets, inside.where("root_a < root_b").select("sig_a", "sig_b"), num, den))
+        where = where.select("grp", F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo")).otherwise(F.col("grp")).alias("comp"))
+        located = postings.join(where, "grp")
+        apart = located.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+        left = settle(located.join(apart, "token"))
+        if left.isEmpty():
+            return links
+
+
+def _across(left: DataFrame, groups: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig_a, sig_b): all pairs across components that the bounds allow, of ``left`` (token, grp, n, pos, comp)."""
+    # shingles that the same groups hold (those of one passage) are one: it weighs as many as it stands for
+    same = F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("grp")), F.bit_xor(F.xxhash64(F.lit(1), "grp")))
+    kinds = left.groupBy("token").agg(same.alias("cls"))
+    rows = left.join(kinds, "token").groupBy("cls", "grp", "n", "comp").agg(F.min("pos").alias("pos"), F.count("*").alias("weight"))
+    # a group's last prefix shingle, and how many shared shingles it has at all: no partner shares more
+    held = rows.groupBy("grp").agg(F.sum("weight").alias("most"))
+    rows = settle(rows.join(held, "grp").join(groups.select("grp", F.element_at("prefix", -1).alias("end")), "grp"))
+    side = lambda s, *names: rows.select("cls", *(F.col(c).alias(f"{c}_{s}") for c in names))
+    names = ("n", "pos", "comp", "grp", "most", "end")
+    close = den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")
+    # at the first shared shingle the rest of either set bounds the overlap, which must reach num/(num+den) of both sizes
+    enough = (num + den) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= num * (F.col("n_a") + F.col("n_b"))
+    # so does what both prefixes share with all that lies behind the prefix that ends first
+    tail = lambda n: F.ceil(F.col(n) * num / den) - 1
+    reaches = lambda shared, behind: (num + den) * (shared + behind) >= num * (F.col("n_a") + F.col("n_b"))
+    behind = F.when(F.col("end_a") < F.col("end_b"), tail("n_a")).when(F.col("end_a") > F.col("end_b"), tail("n_b")).otherwise(F.greatest(tail("n_a"), tail("n_b")))
+    pairs = side("a", *names, "weight").join(side("b", *names), "cls").where((F.col("comp_a") < F.col("comp_b")) & close & reaches(F.least("most_a", "most_b"), behind))
+    pairs = pairs.withColumn("behind", behind).groupBy("grp_a", "grp_b", "n_a", "n_b", "behind").agg(F.sum("weight_a").alias("c"), F.max(enough).alias("ok"))
+    pairs = pairs.where(F.col("ok") & reaches(F.col("c"), F.col("behind"))).select("grp_a", "grp_b")
+    a, b = members.toDF("grp_a", "sig_a"), members.toDF("grp_b", "sig_b")
+    return pairs.join(a, "grp_a").join(b, "grp_b").select("sig_a", "sig_b")
 
 
 def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -186,89 +252,11 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (3, 4)
 
 
 def _joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of _prefixes(), and (sig, root, component_id) of each distinct set."""
-    own = _prefixes(docs, k, num, den)
-    docs = docs.select("doc_id", "text")
-    classes = settle(own.where("n > 0").groupBy("sig", "grp", "sel", "n").agg(F.min("doc_id").alias("rep")))
-
-    postings = own.where("prefix IS NOT NULL").select("grp", "sel", "n", F.posexplode("prefix").alias("pos", "token"))
-    # the keys tell the sizes of a shingle's two groups: without another, groups of too different sizes need not meet
-    size = lambda key: F.shiftright(key, 40).bitwiseAND(F.lit(SIZES))
-    few, many = F.least(size("pivot"), size("last")), F.greatest(size("pivot"), size("last"))
-    apart = (F.col("c") == 2) & (many < SIZES) & (den * few < num * many)
-    shared = postings.groupBy("token").agg(F.min("sel").alias("pivot"), F.max("sel").alias("last"), F.count("*").alias("c"))
-    shared = shared.where((F.col("pivot") < F.col("last")) & ~apart).select("token", "pivot")
-    postings = settle(postings.join(shared, "token").select("token", "grp", "sel", "n", "pos", "pivot").distinct())
-
-    pair = ["sig_a", "rep_a", "sig_b", "rep_b"]
-    close = den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")
-    a = classes.select(F.col("sig").alias("sig_a"), F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("grp").alias("grp_a"))
-    b = classes.select(F.col("sig").alias("sig_b"), F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("grp").alias("grp_b"))
-    first = classes.groupBy("grp", "sel").agg(F.min(F.struct("sig", "rep", "n")).alias("f"))
-    firsts = first.select("grp", "sel", F.col("f.sig").alias("sig_b"), F.col("f.rep").alias("rep_b"), F.col("f.n").alias("n_b"))
-    # one set's share of a similar pair that its prefix must hold at least; half of it is evidence enough for a pivot
-    share = 2 * num / (num + den) - num / den
-    star = (
-        postings.where("sel <> pivot").groupBy(F.col("grp").alias("grp_a"), "pivot").agg(F.count("*").alias("c"), F.max("n").alias("n"))
-        .where(F.col("c") >= F.col("n") * (share / 2)).drop("n")
-        .join(a, "grp_a").join(firsts.drop("grp").withColumnRenamed("sel", "pivot"), "pivot").where(close).select(*pair)
-    )
-    within = a.join(firsts.drop("sel").withColumnRenamed("grp", "grp_a"), "grp_a").where("sig_a <> sig_b").select(*pair)
-    links = _verified(docs, star.union(within), k, num, den)
-    roots = components(links)
-
-    # what the pivots did not connect
-    placed = classes.join(roots, classes.sig == roots.node, "left").select("sig", "rep", "n", "grp", F.coalesce("root", "sig").alias("root"))
-    placed = settle(placed)
-    where = placed.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    comp = F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo")).otherwise(F.col("grp"))
-    located = settle(postings.select("token", "grp", "n", "pos").join(where.select("grp", comp.alias("comp")), "grp"))
-    # shingles that the same groups hold (those of one passage) are one: it weighs as many as it stands for
-    same = F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("grp")), F.bit_xor(F.xxhash64(F.lit(1), "grp")))
-    split = settle(located.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), same.alias("cls"), F.count("*").alias("size")).where("x <> y").drop("x", "y"))
-    weight = split.groupBy("cls").agg(F.count("*").alias("weight"), (F.max("size") > CROWD).alias("crowded"))
-    left = located.join(split.drop("size"), "token").groupBy("cls", "grp", "n", "comp").agg(F.min("pos").alias("pos"))
-    left = left.join(weight, "cls")
-    # a group's last prefix shingle, and how many shared shingles it has at all: no partner shares more
-    ends = own.where("prefix IS NOT NULL").groupBy("grp").agg(F.max(F.element_at("prefix", -1)).alias("end"))
-    held = left.groupBy("grp").agg(F.sum("weight").alias("most"), F.sum(F.when(F.col("crowded"), F.col("weight")).otherwise(0)).alias("among"))
-    left = settle(left.join(held.join(ends, "grp"), "grp"))
-    # at the first shared shingle the rest of either set bounds the overlap, which must reach num/(num+den) of both sizes
-    enough = (num + den) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= num * (F.col("n_a") + F.col("n_b"))
-    # so does what both prefixes share with all that lies behind the prefix that ends first
-    tail = lambda n: F.ceil(F.col(n) * num / den) - 1
-    reaches = lambda shared, behind: (num + den) * (shared + behind) >= num * (F.col("n_a") + F.col("n_b"))
-    end_a, end_b = (F.shiftrightunsigned(F.col(e), 1) for e in ("end_a", "end_b"))  # their order is that of unsigned numbers
-    behind = F.when(end_a < end_b, tail("n_a")).when(end_a > end_b, tail("n_b")).otherwise(F.greatest(tail("n_a"), tail("n_b")))
-    side = lambda df, s, *names: df.select("cls", *(F.col(c).alias(f"{c}_{s}") for c in names))
-    members, ids = ("n", "pos", "comp", "grp", "most", "end"), ("grp_a", "grp_b", "n_a", "n_b", "behind")
-    # shingles of few groups: all their pairs, counted; what the two may share among crowded shingles is allowed for
-    thin = left.where(~F.col("crowded"))
-    near = side(thin, "a", *members, "among", "weight").join(side(thin, "b", *members, "among"), "cls").where((F.col("comp_a") < F.col("comp_b")) & close)
-    near = near.withColumn("behind", behind).where(reaches(F.least("most_a", "most_b"), F.col("behind")))
-    near = near.groupBy(*ids).agg(F.sum("weight_a").alias("c"), F.max(enough).alias("ok"), F.max(F.least("among_a", "among_b")).alias("more"))
-    near = near.where(F.col("ok") & reaches(F.col("c") + F.col("more"), F.col("behind"))).select("grp_a", "grp_b")
-    # shingles of many groups: pairs of (size, position) first, then of components, then of groups
-    crowd = left.where("crowded")
-    shapes, parts = crowd.groupBy("cls", "n", "pos").agg(F.max("most").alias("most")), crowd.select("cls", "n", "pos", "comp").distinct()
-    across = side(shapes, "a", "n", "pos", "most").join(side(shapes, "b", "n", "pos", "most"), "cls")
-    across = across.where(close & enough & reaches(F.least("most_a", "most_b"), F.greatest(tail("n_a"), tail("n_b")))).drop("most_a", "most_b")
-    across = across.join(side(parts, "a", "n", "pos", "comp"), ["cls", "n_a", "pos_a"]).join(side(parts, "b", "n", "pos", "comp"), ["cls", "n_b", "pos_b"]).where("comp_a < comp_b")
-    across = across.join(side(crowd, "a", *members), ["cls", "n_a", "pos_a", "comp_a"]).join(side(crowd, "b", *members), ["cls", "n_b", "pos_b", "comp_b"])
-    across = across.withColumn("behind", behind).where(reaches(F.least("most_a", "most_b"), F.col("behind")))
-    across = across.select(*ids).distinct()
-    bags = left.groupBy("grp").agg(F.collect_list(F.struct("cls", "weight")).alias("bag"))  # at most a prefix each
-    u, v = bags.toDF("grp_a", "bag_a"), bags.toDF("grp_b", "bag_b").withColumn("bag_b", F.transform("bag_b", lambda x: x["cls"]))
-    both = F.filter("bag_a", lambda x: F.array_contains("bag_b", x["cls"]))
-    across = across.join(u, "grp_a").join(v, "grp_b").withColumn("c", F.aggregate(both, F.lit(0).cast("long"), lambda s, x: s + x["weight"]))
-    across = across.where(reaches(F.col("c"), F.col("behind"))).select("grp_a", "grp_b").union(near).distinct()
-    across = across.join(a, "grp_a").join(b, "grp_b").select(*pair)
-    mixed = placed.join(where.where("lo <> hi").select("grp"), "grp")
-    m, o = mixed.toDF("grp", "sig_a", "rep_a", "n_a", "root_a"), mixed.toDF("grp", "sig_b", "rep_b", "n_b", "root_b")
-    inside = m.join(o, "grp").where("root_a <> root_b AND sig_a < sig_b").select(*pair)
-    more = _verified(docs, across.union(inside), k, num, den)
-    roots = components(links.union(more)) if not more.isEmpty() else roots
-
-    named = classes.join(roots, classes.sig == roots.node, "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
+    """The rows of _sized(), and (sig, root, component_id) of each distinct set."""
+    own = settle(_sized(docs, k))
+    with scratch(docs.sparkSession):
+        roots = settle(components(_links(distinct_texts(docs), k, num, den)), outlast=True)
+    classes = own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    named = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     return own, named.join(least, "root").select("sig", "root", "component_id")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, decontaminate, extract, filters, jaccard, packing, quality, sharding, substring, topk, toxicity
+from gleaner.llm import chat, decontaminate, extract, filters, jaccard, meet, packing, quality, sharding, substring, topk, toxicity
 from gleaner.llm import queries as Q
 from gleaner.llm.common import bit_filter, components, in_filter
 
@@ -68,10 +68,13 @@ def test_jaccard_against_brute_force(spark, docs, odd):
     assert got == brute_components([r[:2] for r in odd])
 
 
-@pytest.mark.parametrize("crowd", [64, 2])
-def test_jaccard_many_edits(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_jaccard_many_edits(spark, monkeypatch, rounds):
     """A large group of copies with random edits, and a passage that many short texts share."""
-    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(meet, "KEYS_A_PART", 50)
+    monkeypatch.setattr(meet, "CHUNK_KEYS", 1000)
+    monkeypatch.setattr(meet, "KEYS_A_ROW", 1)
     rng = np.random.default_rng(3)
     base, line = words("b", 90), words("line", 9)
     rows = []
