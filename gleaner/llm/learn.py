@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from .common import as_bytes
+from .common import as_bytes, in_batches
 
 #: Labelled rows that a classifier is fitted on at most: those first by a hash of their id.
 TRAIN_ROWS = 5000
@@ -41,7 +42,7 @@ def sample_features(docs: DataFrame, sample: DataFrame, features: Callable[[byte
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
-    rows = picked.mapInArrow(run, f"doc_id {kind}, y int, f binary").toArrow().to_pylist()
+    rows = in_batches(picked, run, f"doc_id {kind}, y int, f binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["f"]))  # the fit does not depend on the order of tasks
     return [np.frombuffer(r["f"], np.uint32) for r in rows], np.array([r["y"] for r in rows], np.int64)
 
@@ -81,23 +82,23 @@ def sigmoid(x):
 
 
 def scored(docs: DataFrame, features: Callable[[bytes], np.ndarray], score: Callable[[np.ndarray], float], model, threshold: float) -> DataFrame:
-    """``docs`` with held_out, score and predicted. ``model`` is sent once; ``score(model, features)`` gives a probability."""
+    """``docs`` with held_out, score and predicted. ``model`` is sent once; ``score(model, features)`` gives a probability.
+
+    Rows go to Python and back as they are, a bounded number at a time, the text among them once.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    given = docs.select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known: dict = {}
             out = []
-            for t in as_bytes(batch["_text"]):
+            for t in as_bytes(batch["text"]):
                 if (s := known.get(t)) is None:
                     s = known[t] = float(score(sent.value, features(t or b"")))
                 out.append(s)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64())], [*batch.schema.names[1:], "score"])
-
-    from pyspark.sql.types import DoubleType, StructType
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
 
-    given = docs.select(F.col("text").alias("_text"), *names)
-    schema = StructType([*given.schema.fields[1:]]).add("score", DoubleType())
-    out = given.mapInArrow(run, schema)
+    out = in_batches(given, run, StructType([*given.schema.fields]).add("score", DoubleType()))
     return out.select(*names, held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
