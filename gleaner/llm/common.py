@@ -24,10 +24,8 @@ from pyspark.sql import functions as F
 FILTER_LEAST, FILTER_MOST, FILTER_SPREAD = 1 << 20, 1 << 27, 16
 #: Rows that a task's Python code sees at once.
 STEP = 1000
-#: Distinct words whose hashes a task remembers at once.
-CACHE_WORDS = 150_000
-#: Words handled at once by the array operators; longer texts are handled alone.
-CHUNK_WORDS = 1 << 19
+#: Distinct words whose hashes a task remembers at once, and the bytes of the longest.
+CACHE_WORDS, LONGEST = 150_000, 64
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -102,7 +100,7 @@ def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(b.slice(at, STEP) for b in batches for at in range(0, max(b.num_rows, 1), STEP))
+            yield from run(b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP))
         finally:
             _trim()
 
@@ -120,7 +118,9 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -197,10 +197,14 @@ def maybe_among(docs: DataFrame, bits, yes: bool = True) -> DataFrame:
     return in_batches(docs, run, docs.schema)
 
 
-def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(h1, h2, text) of each distinct text of ``docs``; only texts that stand there twice are shuffled."""
+def copied_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(h1, h2, m) of the texts that stand in several rows of ``docs``, as a written table."""
+    return settle(docs.select(*text_key(F.col(text))).groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1"))
+
+
+def distinct_texts(docs: DataFrame, copies: DataFrame, text: str = "text") -> DataFrame:
+    """(h1, h2, text) of each distinct text of ``docs``; only ``copies``, copied_texts() of them, are shuffled."""
     keyed = docs.select(*text_key(F.col(text)), F.col(text).alias("text"))
-    copies = settle(keyed.select("h1", "h2").groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1"))
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(copies, F.col("h1")))
     # a written table, so that a task that runs again sees the same rows in the same order
     one_each = settle(maybe_among(keyed, bits).dropDuplicates(["h1", "h2"]))

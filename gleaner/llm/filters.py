@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, in_filter, settle, text_key
+from .common import bit_filter, in_batches, in_filter, settle, text_key
 
 
 def _row(names: list[str]) -> list:
@@ -29,7 +29,7 @@ def _parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     keyed = docs.select(F.xxhash64(*_row(ids.columns)).alias("_key"), F.struct(*docs.columns).alias("_row"))
     back = lambda df: df.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
-    return tuple(back(keyed.mapInArrow(run(inside), keyed.schema)) for inside in (False, True))
+    return tuple(back(in_batches(keyed, run(inside), keyed.schema)) for inside in (False, True))
 
 
 def _but(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -12,8 +12,9 @@ is verified exactly on the whole sets.
 Components need links enough to connect them, not every pair of a large group of copies. So candidates come
 in rounds: first each group with one pivot, of those of its shingles the one that shares the most of its
 prefix, which costs one pair a group; then, for shingles whose groups still lie in different components, all
-pairs of groups across those components that length, position and the number of shared prefix shingles
-allow. Pairs inside one component can add nothing. No candidate is dropped, so no link between components is
+pairs of groups across those components that length and position allow: as a similar pair shares several
+shingles of its prefixes, its first common one has several others behind it in both, so only the beginnings
+of prefixes are paired. Pairs inside one component can add nothing. No candidate is dropped, so no link between components is
 missed.
 """
 
@@ -24,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bit_filter, components, distinct_texts, in_batches, maybe_among, rolling, scratch, settle, text_key, word_hashes
+from .common import as_bytes, bit_filter, components, copied_texts, distinct_texts, in_batches, maybe_among, rolling, scratch, settle, text_key, word_hashes
 from .meet import shared_units
 
 #: Buckets that shared shingles are counted in for their order: 1 MiB goes to every task.
@@ -198,27 +199,28 @@ def _links(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 def _across(left: DataFrame, groups: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
     """(sig_a, sig_b): all pairs across components that the bounds allow, of ``left`` (token, grp, n, pos, comp)."""
-    # shingles that the same groups hold (those of one passage) are one: it weighs as many as it stands for
+    # how many of its group's shared shingles stand from here on: if a pair's first common one is here, it has no more
+    left = left.withColumn("rest", F.count("*").over(Window.partitionBy("grp").orderBy(F.desc("token"))))
+    # shingles that the same groups hold (those of one passage) are one, which stands where its first one does
     same = F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("grp")), F.bit_xor(F.xxhash64(F.lit(1), "grp")))
     kinds = left.groupBy("token").agg(same.alias("cls"))
-    rows = left.join(kinds, "token").groupBy("cls", "grp", "n", "comp").agg(F.min("pos").alias("pos"), F.count("*").alias("weight"))
-    # a group's last prefix shingle, and how many shared shingles it has at all: no partner shares more
-    held = rows.groupBy("grp").agg(F.sum("weight").alias("most"))
-    rows = settle(rows.join(held, "grp").join(groups.select("grp", F.element_at("prefix", -1).alias("end")), "grp"))
-    side = lambda s, *names: rows.select("cls", *(F.col(c).alias(f"{c}_{s}") for c in names))
-    names = ("n", "pos", "comp", "grp", "most", "end")
-    close = den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")
-    # at the first shared shingle the rest of either set bounds the overlap, which must reach num/(num+den) of both sizes
-    enough = (num + den) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= num * (F.col("n_a") + F.col("n_b"))
-    # so does what both prefixes share with all that lies behind the prefix that ends first
+    rows = left.join(kinds, "token").groupBy("cls", "grp", "n", "comp").agg(F.max("rest").alias("rest"))
     tail = lambda n: F.ceil(F.col(n) * num / den) - 1
-    reaches = lambda shared, behind: (num + den) * (shared + behind) >= num * (F.col("n_a") + F.col("n_b"))
+    reaches = lambda shared, behind, n, m: (num + den) * (shared + behind) >= num * (F.col(n) + F.col(m))
+    # a row that falls short with the smallest and with the largest partner that its class has for it does so with all
+    sizes = rows.groupBy("cls").agg(F.min("n").alias("least"), F.max("n").alias("largest"))
+    rows = rows.join(sizes, "cls").withColumn("few", F.greatest("least", F.ceil(F.col("n") * num / den))).withColumn("many", F.least("largest", F.floor(F.col("n") * den / num)))
+    rows = rows.where(F.greatest(*(((num + den) * (F.col("rest") + F.greatest(tail("n"), tail(m))) >= num * (F.col("n") + F.col(m))).cast("int") for m in ("few", "many"))) == 1)
+    rows = settle(rows.join(groups.select("grp", F.element_at("prefix", -1).alias("end")), "grp").select("cls", "grp", "n", "comp", "rest", "end"))
+    side = lambda s: rows.select("cls", *(F.col(c).alias(f"{c}_{s}") for c in ("grp", "n", "comp", "rest", "end")))
+    close = den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")
+    # what both prefixes share, with all that lies behind the prefix that ends first, bounds the overlap
     behind = F.when(F.col("end_a") < F.col("end_b"), tail("n_a")).when(F.col("end_a") > F.col("end_b"), tail("n_b")).otherwise(F.greatest(tail("n_a"), tail("n_b")))
-    pairs = side("a", *names, "weight").join(side("b", *names), "cls").where((F.col("comp_a") < F.col("comp_b")) & close & reaches(F.least("most_a", "most_b"), behind))
-    pairs = pairs.withColumn("behind", behind).groupBy("grp_a", "grp_b", "n_a", "n_b", "behind").agg(F.sum("weight_a").alias("c"), F.max(enough).alias("ok"))
-    pairs = pairs.where(F.col("ok") & reaches(F.col("c"), F.col("behind"))).select("grp_a", "grp_b")
-    a, b = members.toDF("grp_a", "sig_a"), members.toDF("grp_b", "sig_b")
-    return pairs.join(a, "grp_a").join(b, "grp_b").select("sig_a", "sig_b")
+    pairs = side("a").join(side("b"), "cls").where((F.col("comp_a") < F.col("comp_b")) & close & reaches(F.least("rest_a", "rest_b"), behind, "n_a", "n_b"))
+    pairs = settle(pairs.select("grp_a", "grp_b", "n_a", "n_b", behind.alias("behind")).distinct())
+    x, y = groups.select(F.col("grp").alias("grp_a"), F.col("prefix").alias("x")), groups.select(F.col("grp").alias("grp_b"), F.col("prefix").alias("y"))
+    pairs = pairs.join(x, "grp_a").join(y, "grp_b").where(reaches(F.size(F.array_intersect("x", "y")), F.col("behind"), "n_a", "n_b")).select("grp_a", "grp_b")
+    return pairs.join(members.toDF("grp_a", "sig_a"), "grp_a").join(members.toDF("grp_b", "sig_b"), "grp_b").select("sig_a", "sig_b")
 
 
 def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -255,7 +257,7 @@ def _joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
     """The rows of _sized(), and (sig, root, component_id) of each distinct set."""
     own = settle(_sized(docs, k))
     with scratch(docs.sparkSession):
-        roots = settle(components(_links(distinct_texts(docs), k, num, den)), outlast=True)
+        roots = settle(components(_links(distinct_texts(docs, copied_texts(docs)), k, num, den)), outlast=True)
     classes = own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     named = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -104,7 +104,7 @@ def shared_units(texts: DataFrame, entries: Callable[..., Entries | None], keys:
             columns = [[*rows[0], chunk % parts], [chunk] * (len(rows[0]) + 1), [*rows[1], own], [*rows[2], sizes], [*rows[3], None], [*[None] * len(rows[0]), known]]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-        held, count = [], 0
+        held, count, units = [], 0, 0
         for batch in batches:
             for h1, h2, *row in zip(*(as_bytes(c) if pa.types.is_string(c.type) else c.to_pylist() for c in batch.columns), strict=True):
                 own = entries(*row)
@@ -112,9 +112,10 @@ def shared_units(texts: DataFrame, entries: Callable[..., Entries | None], keys:
                     continue
                 held.append((h1, h2, own))
                 count += len(own[0])
-                if count >= chunk_keys:
+                units += own[3]
+                if count >= chunk_keys or units >= 1 << 31:
                     yield out(held)
-                    held, count = [], 0
+                    held, count, units = [], 0, 0
         if held:
             yield out(held)
 
