@@ -2,274 +2,79 @@
 
 A repeated window of ``size`` words holds, wherever it stands, one whole block of (size + 1) // 2 words that
 begins at a multiple of the block's length. Those non-overlapping blocks of every document are the index;
-every rolling window of a block's length of every document is a probe. Probes and index meet by hash, packed
-into arrays by the hash's leading bits. A probe that meets an indexed block standing elsewhere is an anchor.
-Anchors are extended: each ``size``-word window around one is looked up among all such windows, and those
-that start at least twice, joined where they overlap, are the maximal exact repeats, whose words go.
+every rolling window of a block's length of every document is a probe. Probes and index meet by hash
+(meet.py). A probe that meets an indexed block standing elsewhere is an anchor. Anchors are extended: each
+``size``-word window around one is looked up among all such windows by its whole hash, and those that start
+at least twice, joined where they overlap, are the maximal exact repeats, whose words go.
 
 The unit is a distinct text; a text with copies repeats as a whole, so copies are never paired with one
-another. Segments of texts, not probes, are reported back by the first lookup, and one bit a window by the
-second, so nothing that the lookups return grows with the number of times a passage repeats.
+another. Segments of texts, not probes, are reported back by the first lookup, and the windows of one text
+by the second, so nothing that the lookups return grows with the number of times a passage repeats.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import CHUNK_WORDS, as_bytes, bit_filter, in_filter, rolling, scratch, settle, text_key, word_hashes
+from .common import as_bytes, bit_filter, copied_texts, distinct_texts, in_batches, in_filter, maybe_among, rolling, scratch, settle, text_key, word_hashes
+from .meet import shared_units
 
 #: Words of a text that the first lookup reports together.
 SEGMENT = 64
-#: Rows whose words are held at once.
-STEP = 1000
-#: Windows that a task handles together.
-CHUNK_WINDOWS = 1 << 18
-#: Probes that meet in one part of the first lookup, about; the number of parts grows with the input.
-PROBES_A_PART = 2_000_000
 
 
-
-def _new(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows of batches whose first two columns identify a text, each text once."""
-    seen = set()
-    for batch in (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP)):
-        for row in zip(*(as_bytes(c) if pa.types.is_string(c.type) else c.to_pylist() for c in batch.columns), strict=True):
-            if (key := row[:2]) not in seen:
-                seen.add(key)
-                yield row
-
-
-def _chunk_ids() -> Iterator[int]:
-    start = TaskContext.get().partitionId() << 24
-    while True:
-        yield start
-        start += 1
-
-
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Rows sorted by part, a list for each."""
-    part, held = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["part"] != part and held:
-                yield part, held
-                held = []
-            part = row["part"]
-            held.append(row)
-    if held:
-        yield part, held
-
-
-def _often(keys: np.ndarray, marks: np.ndarray | None = None) -> np.ndarray:
-    """Which keys stand there twice or more, with a marked one among their equals if ``marks`` are given."""
-    order = np.argsort(keys, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else np.empty(0, np.int64)
-    count = np.diff(np.concatenate([first, [len(keys)]]))
-    good = count >= 2
-    if marks is not None and len(keys):
-        good &= np.add.reduceat(marks[order].astype(np.int64), first) > 0
-    out = np.empty(len(keys), bool)
-    out[order] = np.repeat(good, count)
-    return out
-
-
-def _anchored(docs: DataFrame, size: int) -> DataFrame:
-    """(h1, h2, segs) of the texts with anchors: the segments in which an anchor starts."""
+def _anchored(texts: DataFrame, size: int) -> DataFrame:
+    """(h1, h2, units) of the texts with anchors: the segments in which an anchor starts."""
     block = (size + 1) // 2
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(4, (max(1, total // 6 // PROBES_A_PART)).bit_length() + 1)
-    parts = 1 << bits
-    names = ["part", "chunk", "keys", "segs", "marks"]
-
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _chunk_ids()
-
-        def out(held: list[tuple]) -> pa.RecordBatch:
-            chunk = next(ids)
-            n = np.array([len(w) for *_, w in held])
-            segs = -(-n // SEGMENT)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            valid = np.flatnonzero(at <= np.repeat(n - block, n))
-            h = rolling(np.concatenate([w for *_, w in held]), block)[valid]
-            at = at[valid]
-            seg = (np.repeat(np.cumsum(segs) - segs, n)[valid] + at // SEGMENT).astype(np.int64)
-            part = (h >> np.uint64(64 - bits)).astype(np.uint16)
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(parts + 1))
-            keys, aligned = (h >> np.uint64(32 - bits)).astype(np.uint32)[order], (at % block == 0)[order]
-            seg = seg[order]
-            rows: list[list] = [[], [], [], []]
-            for p in range(parts):
-                a, b = ends[p], ends[p + 1]
-                if a < b:
-                    steps = np.diff(seg[a:b], prepend=0).astype(np.uint32)
-                    for column, value in zip(rows, (p, keys[a:b].tobytes(), zlib.compress(steps.tobytes(), 1), zlib.compress(np.packbits(aligned[a:b]).tobytes(), 1)), strict=True):
-                        column.append(value)
-            names_of = np.array([row[:2] for row in held], np.int64).tobytes()
-            rows[0].append(chunk % parts)
-            rows[1].append(names_of)
-            rows[2].append(segs.astype(np.uint32).tobytes())
-            rows[3].append(None)
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            part, keys, segs, marks = (pa.array(c, k) for c, k in zip(rows, kinds, strict=True))
-            return pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), chunk)), keys, segs, marks], names)
-
-        held, words = [], 0
-        for h1, h2, text in _new(batches):
-            own = (text or b"").split()
-            if len(own) < size:
-                continue
-            held.append((h1, h2, word_hashes(own)))
-            words += len(own)
-            if words >= CHUNK_WORDS:
-                yield out(held)
-                held, words = [], 0
-        if held:
-            yield out(held)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_part(batches):
-            found: list[tuple] = [(r["chunk"], r["keys"], r["segs"]) for r in rows if r["marks"] is None]
-            rows = [r for r in rows if r["marks"] is not None]
-            keys = [np.frombuffer(r["keys"], np.uint32) for r in rows]
-            marks = [np.unpackbits(np.frombuffer(zlib.decompress(r["marks"]), np.uint8), count=len(k)).astype(bool) for r, k in zip(rows, keys, strict=True)]
-            if rows:
-                hit = _often(np.concatenate(keys), np.concatenate(marks))
-                for r, own in zip(rows, np.split(hit, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
-                    if own.any():
-                        seg = np.cumsum(np.frombuffer(zlib.decompress(r["segs"]), np.uint32).astype(np.int64))
-                        found.append((r["chunk"], None, np.unique(seg[own]).astype(np.uint32).tobytes()))
-            for row in found:  # one row a batch: rows are large
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.binary())], ["chunk", "texts", "segs"])
-
-    met = docs.select(*text_key(F.col("text")), "text").mapInArrow(probes, "part int, chunk bigint, keys binary, segs binary, marks binary")
-    met = settle(met.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "chunk bigint, texts binary, segs binary"))
-    flags = met.where("texts IS NULL").groupBy("chunk").agg(F.collect_list("segs").alias("hits"))
-    both = met.where("texts IS NOT NULL").join(flags, "chunk").select("texts", "segs", "hits")
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ends = np.cumsum(np.frombuffer(row["segs"], np.uint32).astype(np.int64))
-                hit = np.unique(np.concatenate([np.frombuffer(h, np.uint32) for h in row["hits"]])).astype(np.int64)
-                owner = np.searchsorted(ends, hit, side="right")
-                names = np.frombuffer(row["texts"], np.int64).reshape(-1, 2)
-                which, first = np.unique(owner, return_index=True)
-                segs = [(own - (ends[w - 1] if w else 0)).astype(np.uint32).tobytes() for w, own in zip(which, np.split(hit, first[1:]), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(names[which, 0]), pa.array(names[which, 1]), pa.array(segs, pa.binary())], ["h1", "h2", "segs"])
-
-    return settle(both.mapInArrow(texts, "h1 bigint, h2 bigint, segs binary").dropDuplicates(["h1", "h2"]))
+    def probes(text: bytes | None):
+        words = (text or b"").split()
+        if len(words) < size:
+            return None
+        h = rolling(word_hashes(words), block)
+        at = np.arange(len(h), dtype=np.uint32)
+        return h, at // SEGMENT, at % block == 0, (len(h) - 1) // SEGMENT + 1
 
+    return settle(shared_units(texts, probes, total // 6))
 
-def _filtered(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (with a column h1) whose h1 may be among ``keys``."""
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(keys, F.col("h1")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_filter(bits.value, batch["h1"].to_numpy())))
 
-    return docs.mapInArrow(run, docs.schema)
-
-
-def _repeats(docs: DataFrame, size: int) -> DataFrame:
-    """(h1, h2, spans) of the texts with repeats: (start, end) pairs of the words to remove, as 32-bit integers."""
+def _repeats(texts: DataFrame, size: int) -> DataFrame:
+    """(h1, h2, spans) of the texts with repeats: (start, end) pairs of the words to remove, as 64-bit integers."""
     block = (size + 1) // 2
-    anchored = _anchored(docs, size)
-    keyed = docs.select(*text_key(F.col("text")), "text")
-    near = _filtered(keyed, anchored).join(anchored, ["h1", "h2"]).select("h1", "h2", "text", "segs")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _chunk_ids()
-
-        def out(held: list[tuple]) -> pa.RecordBatch:
-            columns = (
-                np.array([h[:2] for h in held], np.int64).tobytes(),
-                zlib.compress(np.concatenate([h[2] for h in held]).astype(np.uint32).tobytes(), 1),
-                np.array([len(h[2]) for h in held], np.uint32).tobytes(),
-                np.concatenate([h[3] for h in held]).tobytes(),
-            )
-            return pa.RecordBatch.from_arrays([pa.array([next(ids)], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], ["chunk", "texts", "starts", "counts", "keys"])
-
-        held, count = [], 0
-        for h1, h2, text, segs in _new(batches):
-            w = word_hashes((text or b"").split())
-            n = len(w) - size + 1
-            if n <= 0:
-                continue
-            near = np.zeros(n + SEGMENT + size, np.int64)
-            low = np.frombuffer(segs, np.uint32).astype(np.int64) * SEGMENT
-            np.add.at(near, np.maximum(low - (size - block), 0).clip(max=n), 1)
-            np.add.at(near, (low + SEGMENT).clip(max=n), -1)
-            starts = np.flatnonzero(np.cumsum(near)[:n] > 0)
-            held.append((h1, h2, starts, rolling(w, size)[starts]))
-            count += len(starts)
-            if count >= CHUNK_WINDOWS:
-                yield out(held)
-                held, count = [], 0
-        if held:
-            yield out(held)
-
-    chunks = settle(near.mapInArrow(windows, "chunk bigint, texts binary, starts binary, counts binary, keys binary"))
-    total = chunks.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
-    bits = max(4, (max(1, total // 8 // PROBES_A_PART)).bit_length() + 1)
-    parts = 1 << bits
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys = np.frombuffer(row["keys"], np.uint64)
-                part = (keys >> np.uint64(64 - bits)).astype(np.uint16)
-                order = np.argsort(part, kind="stable")
-                ends = np.searchsorted(part[order], np.arange(parts + 1))
-                own = [keys[order[ends[p] : ends[p + 1]]].tobytes() for p in range(parts)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, row["chunk"], np.int64)), pa.array(own, pa.binary())], ["part", "chunk", "keys"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _by_part(batches):
-            keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-            often = np.split(_often(np.concatenate(keys)), np.cumsum([len(k) for k in keys])[:-1])
-            good = [(r["chunk"], part, np.packbits(o).tobytes()) for r, o in zip(rows, often, strict=True) if o.any()]
-            chunk, own, shown = zip(*good, strict=True) if good else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(own, pa.int32()), pa.array(shown, pa.binary())], ["chunk", "part", "bits"])
-
-    counted = chunks.select("chunk", "keys").mapInArrow(split, "part int, chunk bigint, keys binary")
-    counted = counted.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, "chunk bigint, part int, bits binary")
-    told = counted.groupBy("chunk").agg(F.collect_list(F.struct("part", "bits")).alias("told"))
+    anchored = _anchored(texts, size)
+    bits = texts.sparkSession.sparkContext.broadcast(bit_filter(anchored, F.col("h1")))
+    near = settle(maybe_among(texts, bits).join(anchored, ["h1", "h2"]).select("h1", "h2", "text", "units"))
+    segments = anchored.agg(F.sum(F.octet_length("units"))).first()[0] or 0
+
+    def windows(text: bytes | None, segs: bytes):
+        w = word_hashes((text or b"").split())
+        n = len(w) - size + 1
+        around = np.zeros(n + 1, np.int64)
+        low = np.frombuffer(segs, np.uint32).astype(np.int64) * SEGMENT
+        np.add.at(around, np.maximum(low - (size - block), 0).clip(max=n), 1)
+        np.add.at(around, (low + SEGMENT).clip(max=n), -1)
+        starts = np.flatnonzero(np.cumsum(around)[:n] > 0)
+        return rolling(w, size)[starts], starts.astype(np.uint32), None, n
+
+    again = shared_units(near, windows, segments // 4 * SEGMENT, exact=True)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                keys = np.frombuffer(row["keys"], np.uint64)
-                part = (keys >> np.uint64(64 - bits)).astype(np.uint16)
-                twice = np.zeros(len(keys), bool)
-                for told in row["told"]:
-                    at = np.flatnonzero(part == told["part"])
-                    twice[at] = np.unpackbits(np.frombuffer(told["bits"], np.uint8), count=len(at)).astype(bool)
-                names = np.frombuffer(row["texts"], np.int64).reshape(-1, 2)
-                ends = np.cumsum(np.frombuffer(row["counts"], np.uint32).astype(np.int64))
-                starts = np.frombuffer(zlib.decompress(row["starts"]), np.uint32)
-                good: list[list] = [[], [], []]
-                for (h1, h2), a, b in zip(names.tolist(), [0, *ends[:-1]], ends, strict=True):
-                    own = starts[a:b][twice[a:b]].astype(np.int64)
-                    if len(own):
-                        cut = np.flatnonzero(own[1:] > own[:-1] + size) + 1
-                        runs = np.stack([own[np.concatenate([[0], cut])], own[np.concatenate([cut - 1, [len(own) - 1]])] + size], 1)
-                        for column, value in zip(good, (h1, h2, runs.astype(np.int32).tobytes()), strict=True):
-                            column.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(good, kinds, strict=True)], ["h1", "h2", "spans"])
+            out = []
+            for units in batch["units"].to_pylist():
+                own = np.frombuffer(units, np.uint32).astype(np.int64)
+                cut = np.flatnonzero(own[1:] > own[:-1] + size) + 1
+                out.append(np.stack([own[np.append(0, cut)], own[np.append(cut - 1, len(own) - 1)] + size], 1).tobytes())
+            yield pa.RecordBatch.from_arrays([batch["h1"], batch["h2"], pa.array(out, pa.binary())], ["h1", "h2", "spans"])
 
-    placed = chunks.join(told, "chunk").select("texts", "starts", "counts", "keys", "told")
-    return settle(placed.mapInArrow(spans, "h1 bigint, h2 bigint, spans binary").dropDuplicates(["h1", "h2"]))
+    return in_batches(again, spans, "h1 bigint, h2 bigint, spans binary")
 
 
 def remove_repeats(docs: DataFrame, size: int = 35, text: str = "text") -> DataFrame:
@@ -283,12 +88,12 @@ def remove_repeats(docs: DataFrame, size: int = 35, text: str = "text") -> DataF
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
     docs = docs.select(*names)
     own = docs.select(F.col(text).alias("text"))
-    copies = own.select(*text_key(F.col("text"))).groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1")
     with scratch(docs.sparkSession):
-        found = settle(copies.join(_repeats(own, size), ["h1", "h2"], "full").select("h1", "h2", "m", "spans"), outlast=True)
+        copies = copied_texts(own)
+        found = settle(copies.join(_repeats(distinct_texts(own, copies), size), ["h1", "h2"], "full").select("h1", "h2", "m", "spans"), outlast=True)
     keyed = docs.select(*text_key(F.col(text)), F.struct(*names).alias("_row"))
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(found, F.col("h1")))
-    touched = _filtered(keyed, found).join(found, ["h1", "h2"], "left").select("_row", "m", "spans")
+    touched = maybe_among(keyed, bits).join(found, ["h1", "h2"], "left").select("_row", "m", "spans")
 
     def cut(rows: pa.Array, copies: list, repeats: list) -> pa.RecordBatch:
         out: list[list] = [[], [], []]
@@ -299,7 +104,7 @@ def remove_repeats(docs: DataFrame, size: int = 35, text: str = "text") -> DataF
                 kept = []
             elif spans is not None:
                 kept, at = [], 0
-                for a, b in np.frombuffer(spans, np.int32).reshape(-1, 2).tolist():
+                for a, b in np.frombuffer(spans, np.int64).reshape(-1, 2).tolist():
                     kept += words[at:a]
                     at = b
                 kept += words[at:]
@@ -311,17 +116,13 @@ def remove_repeats(docs: DataFrame, size: int = 35, text: str = "text") -> DataF
 
     def cut_touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
-                yield cut(part["_row"], part["m"].to_pylist(), part["spans"].to_pylist())
+            yield cut(batch["_row"], batch["m"].to_pylist(), batch["spans"].to_pylist())
 
     def cut_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
-                rows = part["_row"].filter(pa.array(~in_filter(bits.value, part["h1"].to_numpy())))
-                yield cut(rows, [None] * len(rows), [None] * len(rows))
+            rows = batch["_row"].filter(pa.array(~in_filter(bits.value, batch["h1"].to_numpy())))
+            yield cut(rows, [None] * len(rows), [None] * len(rows))
 
     schema = StructType([keyed.schema["_row"]]).add("n_words", LongType()).add("n_removed", LongType()).add("kept_text", StringType())
-    done = touched.mapInArrow(cut_touched, schema).union(keyed.mapInArrow(cut_others, schema))
+    done = in_batches(touched, cut_touched, schema).union(in_batches(keyed, cut_others, schema))
     return done.select(*(F.col("_row")[c].alias(c) for c in names), "n_words", "n_removed", "kept_text")
