@@ -11,17 +11,20 @@ document (length bound), and the window's own hash at that place verifies exact
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mixed, rolling, settle, text_key, word_hashes
+from .common import as_bytes, bit_filter, in_batches, maybe_among, mixed, rolling, scratch, settle, text_key, word_hashes
 
 SHINGLE = 3
 #: Distinct windows that go to every task at once; a larger benchmark takes several passes.
 BLOCK_WINDOWS = 500_000
+#: Tasks that the rows of one text with hits are dealt to.
+SALTS = 8
 
 _KEPT = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -56,7 +59,7 @@ def windows_of(benchmark: DataFrame, size: int, item: str = "item_id", text: str
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["item_id", "whash", "wlen", "shingles"])
 
     named = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item_id"), F.col(text).alias("text"))
-    return named.mapInArrow(run, "item_id string, whash bigint, wlen int, shingles array<bigint>")
+    return in_batches(named, run, "item_id string, whash bigint, wlen int, shingles array<bigint>")
 
 
 class _Lookup:
@@ -93,7 +96,7 @@ def _rarity(docs: DataFrame, vocabulary: dict[int, np.ndarray], text: str) -> di
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s, np.int32)), pa.array(at), pa.array(c[at])], ["s", "at", "n"])
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "s int, at bigint, n bigint").groupBy("s", "at").agg(F.sum("n").alias("n")).toArrow()
+    rows = in_batches(docs.select(F.col(text).alias("text")), run, "s int, at bigint, n bigint").groupBy("s", "at").agg(F.sum("n").alias("n")).toArrow()
     out = {s: np.zeros(len(v), np.int64) for s, v in vocabulary.items()}
     for s, at, n in zip(rows["s"].to_pylist(), rows["at"].to_pylist(), rows["n"].to_pylist(), strict=True):
         out[s][at] = n
@@ -164,7 +167,7 @@ def _probe(docs: DataFrame, windows: pa.Table, doc_id: str, text: str) -> DataFr
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), F.col(text).alias("text"))
     longs = "h1 bigint, h2 bigint, n_words bigint, spans array<bigint>, found array<bigint>"
-    return rows.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, {longs}")
+    return in_batches(rows, run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, {longs}")
 
 
 def _covered(spans):
@@ -191,22 +194,20 @@ def contamination(
     empty benchmark leaves every document clean, an empty table stays empty; further columns are ignored.
     ``keys`` adds the text's 128-bit key (h1, h2), which tells rows of one doc_id apart.
     """
-    windows = settle(windows_of(benchmark, size, item, item_text))
+    with scratch(docs.sparkSession):
+        found = _judged(docs, settle(windows_of(benchmark, size, item, item_text)), doc_id, text)
+        return settle(found if keys else found.drop("h1", "h2"), outlast=True)
+
+
+def _judged(docs: DataFrame, windows: DataFrame, doc_id: str, text: str) -> DataFrame:
     distinct = windows.groupBy("whash", "wlen").agg(F.first("shingles").alias("shingles"))
     blocks = max(1, -(-distinct.count() // BLOCK_WINDOWS))
     probed = [
         settle(_probe(docs, distinct.where(F.pmod(F.xxhash64("whash", "wlen"), F.lit(blocks)) == b).toArrow(), doc_id, text)) for b in range(blocks)
     ]
-    rows = probed[0].select("doc_id", "h1", "h2", "n_words")
-    hits = None
-    for p in probed:
-        own = p.where("found IS NOT NULL").select("h1", "h2", "spans", "found")
-        hits = own if hits is None else hits.union(own)
-    # one row a text: copies have the same hits
-    texts = hits.dropDuplicates(["h1", "h2"]) if blocks == 1 else hits.groupBy("h1", "h2").agg(
-        F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("found")).alias("found")
-    )
-    texts = settle(texts)
+    hits = reduce(DataFrame.union, [p.where("found IS NOT NULL").select("h1", "h2", "spans", "found") for p in probed])
+    # one row a text: copies have the same hits in each block
+    texts = settle(hits.groupBy("h1", "h2").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("found")).alias("found")))
     named = (
         texts.select("h1", "h2", F.explode("found").alias("whash"))
         .join(windows.select("whash", "item_id").distinct(), "whash")
@@ -214,13 +215,14 @@ def contamination(
         .agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     )
     known = texts.select("h1", "h2", _covered(F.col("spans")).alias("n_hit")).join(named, ["h1", "h2"])
-    hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return rows.join(known, ["h1", "h2"], "left").select(
-        "doc_id",
-        "n_words",
-        hit.alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        (hit > 0).alias("contaminated"),
-        *(["h1", "h2"] if keys else []),
+    rows = probed[0].select("doc_id", "h1", "h2", "n_words")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(texts, F.col("h1")))
+    # rows without hits need no join; those of one text with hits go to SALTS tasks
+    salted = maybe_among(rows, bits).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = salted.join(known, ["h1", "h2", "salt"], "left").select("doc_id", "n_words", "n_hit", "items", "h1", "h2")
+    clean = maybe_among(rows, bits, False).select("doc_id", "n_words", F.lit(None).cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("items"), "h1", "h2")
+    hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
+    return met.unionByName(clean).select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (hit > 0).alias("contaminated"), "h1", "h2"
     )
