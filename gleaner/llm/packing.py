@@ -11,13 +11,14 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import in_batches, scratch, settle
 
 CAPACITY = 1024
 OPEN_BINS = 4096
@@ -56,6 +57,12 @@ class Encoder:
         return np.concatenate([np.array(ids, "<u4"), self.end]).astype("<u4")
 
 
+@cache
+def _encoder() -> Encoder:
+    """One encoder a Python worker."""
+    return Encoder()
+
+
 def pieces_of(ids: np.ndarray, capacity: int) -> list[tuple[int, int, int, int]]:
     """(piece, start, length, crc32) of a document; only one that is too long is cut, its first piece short."""
     first = len(ids) if len(ids) <= capacity else len(ids) % capacity or capacity
@@ -104,7 +111,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_i
     """(doc_id, piece, start, length, ids_crc32) of every document's token ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder()
+        encoder = _encoder()
         for batch in batches:
             each, found, known = [], [], {}
             for t in batch["text"].to_pylist():
@@ -119,7 +126,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_i
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, PIECE.format(id=kind))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).transform(in_batches, encode, PIECE.format(id=kind))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -129,7 +136,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
     a sequence by itself. Every sequence is gapless from offset 0. A null doc_id is kept. An empty table
     gives an empty result; further columns are ignored.
     """
-    pieces = settle(token_pieces(docs, capacity, doc_id, text))
+    with scratch(docs.sparkSession):
+        return settle(_packed(settle(token_pieces(docs, capacity, doc_id, text)), capacity, open_bins), outlast=True)
+
+
+def _packed(pieces: DataFrame, capacity: int, open_bins: int) -> DataFrame:
     kind = pieces.schema["doc_id"].dataType.simpleString()
     whole = pieces.where(F.col("length") == capacity).select(
         "*", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
@@ -155,8 +166,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
 
         for batch in batches:
             shape = pa.struct([batch.schema.field(n) for n in names])
-            longest_first = sorted(batch.to_pylist(), key=lambda p: -p["length"])  # short ones then fill what is left
-            closed = [c for p in longest_first for c in packer.put(p, p["length"])]
+            closed = [c for p in batch.to_pylist() for c in packer.put(p, p["length"])]
             yield out(closed, False)
         if shape is not None:
             yield out(list(packer.rest()), True)
@@ -180,20 +190,17 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
         for batch in batches:
             shape = list(batch.schema.field("pieces").type.value_type)
             closed = []
-            for row in sorted(batch.to_pylist(), key=lambda b: -b["fill"]):
+            for row in batch.to_pylist():
                 task = row["task"]
                 closed += packer.put(row["pieces"], row["fill"]) if row["open"] else [([row["pieces"]], row["fill"])]
             yield out(closed)
         if shape is not None:
             yield out(list(packer.rest()))
 
-    spread = rest.repartition(tasks) if tasks > 1 else rest.coalesce(1)
-    ordered = spread.sortWithinPartitions(F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece", "length")
-    packed = ordered.withColumn("_task", F.spark_partition_id().cast("long")).mapInArrow(first, bins)
-    if tasks > 1:
-        group = F.when(F.col("open"), F.floor(F.col("at") / TASKS_TOGETHER)).otherwise(F.col("at"))
-        packed = packed.repartition(tasks, "open", group).sortWithinPartitions("open", "at", "fill", F.col("pieces")[0])
-    packed = packed.withColumn("task", F.spark_partition_id().cast("long")).mapInArrow(
-        second, PIECE.format(id=kind) + ", sequence_id bigint, offset bigint"
-    )
+    # pieces arrive in an order of their own, by hash, however the table is cut into files and batches
+    ordered = rest.repartition(tasks).sortWithinPartitions(F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece", "length")
+    packed = in_batches(ordered.withColumn("_task", F.spark_partition_id().cast("long")), first, bins)
+    group = F.when(F.col("open"), F.floor(F.col("at") / TASKS_TOGETHER)).otherwise(F.col("at"))
+    packed = packed.repartition(tasks, "open", group).sortWithinPartitions("open", "at", F.desc("fill"), F.col("pieces")[0])
+    packed = in_batches(packed.withColumn("task", F.spark_partition_id().cast("long")), second, PIECE.format(id=kind) + ", sequence_id bigint, offset bigint")
     return packed.unionByName(whole)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import in_batches, settle
 
 #: Multiplier of the published algorithm's generator (Lamping and Veach, 2014).
 _JUMP = np.uint64(2862933555777941757)
@@ -65,7 +65,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    placed = settle(rows.mapInArrow(place, f"doc_id {kind}, size bigint, text_crc32 bigint, _part int, shard int, _slot bigint, grown_shard int"))
+    placed = settle(in_batches(rows, place, f"doc_id {kind}, size bigint, text_crc32 bigint, _part int, shard int, _slot bigint, grown_shard int"))
     parts = placed.groupBy("shard", "_part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("shard", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
