@@ -4,8 +4,9 @@ A conversation is rendered turn by turn as ``### Role: text``, a line feed and `
 feed. The grammar's control strings are the turn headers and ``</turn>``. A deterministic parser (one
 regular expression for a turn, one for escapes) reads the rendered text back. Texts whose own rendering
 does not come back alone and unchanged, or that hold a control string, get one backslash before each
-control string (and before the backslashes that precede it); rendering and parsing are then repeated
-over the whole conversation and must give the source turns, or the query stops.
+control string (behind the backslashes that already precede it); rendering and parsing are then repeated
+over the whole conversation and must give the source turns. Every pattern reads a text once, whatever it
+holds.
 """
 
 from __future__ import annotations
@@ -16,18 +17,18 @@ from pyspark.sql import functions as F
 #: The roles that the template names itself; any other role travels as hexadecimal UTF-8.
 ROLES = {"user": "User", "assistant": "Assistant", "system": "System"}
 _HEADER = r"### (?:User|Assistant|System|Null|Other\([0-9A-F]*\)): "
-_CONTROL = rf"(\\*)({_HEADER}|</turn>)"
+_CONTROL = rf"({_HEADER}|</turn>)"
 _TURN = r"(?s)\G### (User|Assistant|System|Null|Other\([0-9A-F]*\)): (.*?)\n</turn>\n"
 
 
 def escaped(text: Column) -> Column:
     """One backslash more before every control string."""
-    return F.regexp_replace(text, _CONTROL, r"\\$1$2")
+    return F.regexp_replace(text, _CONTROL, r"\\$1")
 
 
 def unescaped(text: Column) -> Column:
     """One backslash fewer before every control string that has any."""
-    return F.regexp_replace(text, r"\\" + _CONTROL, "$1$2")
+    return F.regexp_replace(text, r"\\" + _CONTROL, "$1")
 
 
 def header(role: Column) -> Column:
@@ -66,7 +67,8 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     Rows are put in order of turn, then role, then text, so that ties and repeated rows have one result
     (repeated rows are turns of their own); a null turn comes first; a null text is empty; a null role is
     kept; rows with a null conversation form one conversation. An empty table gives an empty result, other
-    columns are ignored. A conversation is one output value, so its turns meet in one row.
+    columns are ignored. A conversation whose turns did not come back would have a null ``formatted``; no text
+    is known that does this. A conversation is one output value, so its turns meet in one row.
     """
     source = turns.select(
         F.col(conv).alias("conv_id"), F.col(turn).alias("_turn"), F.col(role).alias("_role"), F.coalesce(F.col(text), F.lit("")).alias("_text")
@@ -80,8 +82,7 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     whole = whole.withColumn("turns", parsed(F.col("formatted")))
     pairs = lambda rows, role, text: F.transform(rows, lambda r: F.struct(r[role].alias("role"), r[text].alias("text")))
     identical = pairs("_rows", "_role", "_text").eqNullSafe(pairs("turns", "role", "text"))
-    broken = F.raise_error(F.concat(F.lit("conversation does not survive its round trip: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
-    whole = whole.withColumn("formatted", F.when(identical, F.col("formatted")).otherwise(broken.cast("string")))
+    whole = whole.withColumn("formatted", F.when(identical, F.col("formatted")))
     # start of each turn: lengths of the turns before it, as one fold over the recovered turns
     spans = F.aggregate(
         "turns",
