@@ -3,14 +3,16 @@
 Vectors become integers (floor of scale * x). One more coordinate, sqrt(M^2 - |x|^2) with M the largest
 norm, makes the largest inner product the nearest neighbour: |q' - x'|^2 = |q|^2 + M^2 - 2 q.x. The index
 keys every vector by its nearest pivot and its distance to it and keeps each pivot's vectors sorted by
-distance, cut into annuli of consecutive rows. A query visits annuli from the likeliest on; by the triangle
-inequality no vector of an annulus scores more than (|q|^2 + M^2 - gap^2) / 2, gap being how far the
-query's own distance to the pivot lies from the annulus, and an annulus is left out once that is below the
-query's k-th best score. Bounds are floating point with a margin; scores are exact integers.
+distance, cut into annuli of consecutive rows. By the triangle inequality no vector of an annulus scores
+more than (|q|^2 + M^2 - gap^2) / 2, gap being how far the query's own distance to the pivot lies from the
+annulus. Each query expands outward from its own place, annulus by annulus in order of that bound, and stops
+at the first one whose bound is below its k-th best score; queries that are at the same annulus are scored
+together. Bounds are floating point with a margin; scores are exact integers.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import scratch, settle, shared_folder
 
 #: Vectors that the pivots and the first thresholds are taken from.
 SAMPLE = 2048
@@ -72,6 +74,11 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
     or NaN component take no part; a shorter vector counts as padded with zeros; scores beyond 64 bits stop
     at their ends. Fewer candidates than ``k`` give fewer rows, an empty table none.
     """
+    with scratch(vectors.sparkSession):
+        return _found(vectors, is_query, k, id_col, vector, scale)
+
+
+def _found(vectors: DataFrame, is_query: Column, k: int, id_col: str, vector: str, scale: int) -> DataFrame:
     spark = vectors.sparkSession
     x = F.col(vector)
     sound = x.isNotNull() & F.forall(x, lambda v: F.coalesce(~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")), F.lit(False)))
@@ -162,21 +169,28 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
                 d = far[:, [b["pivot"] for b in blocks]]
                 gap = np.maximum(0, np.maximum(low[None, :] - d, d - high[None, :]) - 1e-6 * (1 + d))
                 bound = (reach[:, None] - gap * gap) / 2 * (1 + 1e-9) + 1
-                for b in np.argsort(-bound.max(0)):
-                    ask = np.flatnonzero(bound[:, b] >= floor)
-                    if not len(ask):
-                        continue
-                    ids = np.array([_NO_ID if i is None else i for i in blocks[b]["ids"]], np.int64)
-                    here = np.frombuffer(blocks[b]["rows"], np.int64)
-                    scores = _exact(q[ask], np.frombuffer(blocks[b]["vectors"], np.int64).reshape(len(here), width))
-                    for i, row in zip(ask, scores, strict=True):
-                        good = np.flatnonzero((row >= floor[i]) & (here != asking_rows[i]))
-                        if len(good):
-                            s, n = np.concatenate([best[i][0], row[good]]), np.concatenate([best[i][1], ids[good]])
-                            at = np.lexsort((n, -s))[:k]
-                            best[i] = (s[at], n[at])
-                            if len(at) == k:
-                                floor[i] = max(floor[i], s[at[-1]])
+                outward = np.argsort(-bound, axis=1, kind="stable")
+                asks = np.arange(len(q))
+                for step in range(len(blocks)):
+                    at = outward[asks, step]
+                    going = bound[asks, at] >= floor[asks]
+                    asks, at = asks[going], at[going]
+                    if not len(asks):
+                        break
+                    order = np.argsort(at, kind="stable")
+                    for ask in np.split(asks[order], np.flatnonzero(np.diff(at[order])) + 1):
+                        block = blocks[outward[ask[0], step]]
+                        ids = np.array([_NO_ID if i is None else i for i in block["ids"]], np.int64)
+                        here = np.frombuffer(block["rows"], np.int64)
+                        scores = _exact(q[ask], np.frombuffer(block["vectors"], np.int64).reshape(len(here), width))
+                        for i, row in zip(ask, scores, strict=True):
+                            good = np.flatnonzero((row >= floor[i]) & (here != asking_rows[i]))
+                            if len(good):
+                                s, n = np.concatenate([best[i][0], row[good]]), np.concatenate([best[i][1], ids[good]])
+                                top = np.lexsort((n, -s))[:k]
+                                best[i] = (s[top], n[top])
+                                if len(top) == k:
+                                    floor[i] = max(floor[i], s[top[-1]])
             each = [len(s) for s, _ in best]
             ids = np.concatenate([n for _, n in best])
             columns = [
@@ -190,9 +204,9 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
         return index.mapInArrow(search, "row bigint, query_id bigint, vec_id bigint, score bigint")
 
     asks = rows.where("asks").select("id", "row", "v")
-    found, blocks = None, max(1, -(-asks.count() // QUERY_BLOCK))
-    for b in range(blocks):  # the stated queries against all rows, block by block
-        part = answers(asks.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).toArrow())
-        found = part if found is None else found.union(part)
-    first = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
-    return found.select("*", F.row_number().over(first).alias("rank")).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    path, blocks = f"{shared_folder(spark)}/top-{uuid.uuid4().hex}", max(1, -(-asks.count() // QUERY_BLOCK))
+    for b in range(blocks):  # the stated queries against all rows, block by block, each block's answers written
+        first = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+        found = answers(asks.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).toArrow()).select("*", F.row_number().over(first).alias("rank"))
+        found.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score").write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
