@@ -14,8 +14,8 @@ from .common import as_bytes, in_batches
 
 #: Labelled rows that a classifier is fitted on at most: those first by a hash of their id.
 TRAIN_ROWS = 5000
-#: Features that a model keeps at most, the most frequent of the sample first.
-MODEL_FEATURES = 300_000
+#: Rows of the sample that a feature must be seen in.
+SEEN = 2
 
 
 def held_out(doc_id: Column) -> Column:
@@ -50,13 +50,10 @@ def sample_features(docs: DataFrame, sample: DataFrame, features: Callable[[byte
 class Sparse:
     """Rows of feature ids over a kept vocabulary, as one flat array."""
 
-    def __init__(self, rows: list[np.ndarray], keep: int = MODEL_FEATURES):
+    def __init__(self, rows: list[np.ndarray]):
         flat = np.concatenate(rows) if rows else np.empty(0, np.uint32)
         ids, counts = np.unique(flat, return_counts=True)
-        least = 2 if len(rows) < 1000 else 3
-        kept = np.flatnonzero(counts >= least)
-        kept = np.sort(kept[np.argsort(-counts[kept], kind="stable")[:keep]])
-        self.ids = ids[kept]
+        self.ids = ids[counts >= SEEN]
         places = [found(self.ids, r) for r in rows]
         self.rows = places
         self.columns = np.concatenate(places) if places else np.empty(0, np.int32)

@@ -12,9 +12,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 
-from .common import WORDS, mixed, rolling
+from .common import LONGEST, WORDS, mixed, rolling
 from .learn import Sparse, found, labelled_sample, sample_features, scored, sigmoid
 
 THRESHOLD = 0.3
@@ -30,7 +31,9 @@ class _Shapes(dict):
         shape = word
         for pattern, to in _RUNS:
             shape = pattern.sub(to, shape)
-        value = self[word] = WORDS[b"\0shape " + shape[:40]]
+        value = xxhash.xxh3_64_intdigest(b"\0shape " + shape)
+        if len(word) <= LONGEST:
+            self[word] = value
         return value
 
 

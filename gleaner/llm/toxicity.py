@@ -1,12 +1,15 @@
 """Toxicity by weak supervision.
 
 Many voters look at a text: one for each lexicon word, one for each lexicon, patterns over where words of
-the lexicons stand, a few set phrases, words and word beginnings that labelled toxic texts of the learning
-folds show much more often than others (a lexicon for languages and slang that no list here knows), and one
-that votes clean. A generative label model, fitted without
-trusting any of them, estimates how often each fires on toxic and on clean texts (its accuracy) and how far
-voters still move together within a class (their correlations); correlated voters share one vote's weight.
-The labels at hand are one more noisy voter. A linear classifier over word n-grams and lexicon hits is then
+the lexicons stand, a few set phrases, and one that votes clean. No list here knows every language and slang,
+so a further lexicon is mined: words, word pairs and word beginnings that labelled toxic texts show much more
+often than others; likewise lexicon words that labelled texts show to mean something else here stop voting.
+Both are found on four fifths of the learning rows and vote on the rest, so a row's own label never moves a
+vote on that row, and labels are no votes themselves. With ``mine`` off they only set the class balance.
+
+A generative label model, fitted without looking at any label, estimates how often each voter fires on toxic
+and on clean texts (its accuracy) and how far voters still move together within a class (their correlations);
+correlated voters share one vote's weight. A linear classifier over word n-grams and lexicon hits is then
 trained on the model's posterior labels, and scores every text.
 """
 
@@ -38,14 +41,16 @@ YOU = "you your youre u ya tu te vous toi du dich dir ihr usted vosotros ti"
 #: Set phrases of two words.
 PHRASES = "shut up|go die|kill yourself|drop dead|hate you|get lost|ta gueule|ferme la|halt maul|verpiss dich|cállate idiota|vete mierda"
 
-#: Mined voters at most, and what one needs: documents, share of toxic labels among them.
-MINED, MINED_ROWS, MINED_SHARE = 256, 3, 0.8
-#: Share of either class that the labels may name wrongly, at most.
-LABEL_NOISE = 0.02
+#: What a mined voter needs: documents, share of toxic labels among them.
+MINED_ROWS, MINED_SHARE = 4, 0.9
+#: Patterns of the mined lexicon: so many of its entries in one text.
+MINED_SEVERAL = (2, 3, 5)
+#: Parts of the learning rows: what the labels of the others name votes on a part.
+PARTS = 5
 #: A lexicon word stops voting if it shows in that many labelled rows and fewer than that share are toxic.
 VETO_ROWS, VETO_SHARE = 3, 0.5
 #: Standard errors by which an n-gram must tell the posterior classes apart to enter the classifier.
-APART = 3.0
+APART = 5.0
 #: Bytes of the word beginnings that count as features.
 BEGINNINGS = (4, 5, 6)
 
@@ -111,23 +116,22 @@ def judged(ids: np.ndarray, vetoed: np.ndarray) -> np.ndarray:
     return np.concatenate([np.sort(np.array(fires, np.uint32)), ids[ids >= VOTERS]])
 
 
-def label_model(votes: np.ndarray, rounds: int = 40) -> dict:
-    """Fit the generative model to a (rows x voters) 0/1 array.
+def label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> dict:
+    """Fit the generative model to a (rows x voters) 0/1 array, whose last voter votes clean.
 
     Returns the prior, each voter's rate of firing by class, the correlations left within classes, for each
     row and voter the votes among which correlated voters share its evidence (it is divided by that), and
-    the posterior probability of each row. A voter that does not fire abstains: it says nothing. The last two voters are
-    the labels at hand (0, then 1), the one before them votes clean; the class balance is the labels'. The start gives a row the more, the more of the two kinds
-    of witness (a label, any other voter) speak for toxic; that alone tells which class is which.
+    the posterior probability of each row. A voter that does not fire abstains: it says nothing. ``prior`` is
+    the share of toxic rows. The start gives a row the more, the more voters for toxic fire on it; that alone
+    tells which class is which.
     """
     n, m = votes.shape
-    post = np.array([0.01, 0.1, 0.5, 0.95])[votes[:, :-3].any(1).astype(int) + 2 * (votes[:, -1] > 0)]
-    prior = np.clip(votes[:, -1].mean(), 1e-3, 0.5)
+    prior = float(np.clip(prior, 1e-3, 0.5))
+    post = np.array([0.01, 0.5, 0.9, 0.95])[np.minimum(votes[:, :-1].sum(1), 3).astype(int)]
     corr, shared = np.zeros((m, m)), np.ones((n, m))
     for step in range(rounds):
         t = (post @ votes + 0.1) / (post.sum() + 1)
         c = ((1 - post) @ votes + 0.1) / ((1 - post).sum() + 1)
-        t[-2], c[-1] = min(t[-2], LABEL_NOISE), min(c[-1], LABEL_NOISE)
         if step in (rounds // 4, rounds // 2):  # correlations within classes, at the rates so far
             rest = np.concatenate([(votes - t) * np.sqrt(post)[:, None], (votes - c) * np.sqrt(1 - post)[:, None]])
             cov = rest.T @ rest / n
@@ -138,34 +142,53 @@ def label_model(votes: np.ndarray, rounds: int = 40) -> dict:
     return {"prior": prior, "toxic": t, "clean": c, "correlations": corr, "shared": shared, "posterior": post}
 
 
-def _mine(x: Sparse, labels: np.ndarray) -> np.ndarray:
-    """Places in ``x.ids`` of the n-grams that toxic labels go with, the most frequent first, then by id."""
+def mined(x: Sparse, labels: np.ndarray) -> np.ndarray:
+    """Ids of the n-grams that toxic labels go with."""
     toxic = x.back((labels == 1).astype(float))
     share = toxic / np.maximum(x.back(np.ones(len(labels))), 1)
-    good = np.flatnonzero((toxic >= max(MINED_ROWS, len(labels) // 1000)) & (share >= MINED_SHARE) & (x.ids >= VOTERS))
-    return np.sort(good[np.argsort(-toxic[good], kind="stable")[:MINED]])
+    return x.ids[(toxic >= max(MINED_ROWS, len(labels) // 1000)) & (share >= MINED_SHARE) & (x.ids >= VOTERS)]
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 300, ridge: float = 5e-5) -> dict:
-    """The linear classifier, trained on the label model's posteriors. No rows: scores of nearly 0."""
-    if not len(rows):
-        return {"ids": np.empty(0, np.uint32), "w": np.empty(0), "bias": -3.0, "vetoed": np.empty(0, np.int64)}
+def vetoed(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Lexicon words that labelled rows show to mean something else."""
     hits = np.zeros((len(rows), _FIRST_GROUP), bool)
     for i, r in enumerate(rows):
         hits[i, r[r < _FIRST_GROUP]] = True
     count, toxic = hits.sum(0), hits[labels == 1].sum(0)
-    vetoed = np.flatnonzero((count >= VETO_ROWS) & (toxic < VETO_SHARE * count))
-    rows = [judged(r, vetoed) for r in rows]
-    x = Sparse(rows)
-    mined = x.ids[_mine(x, labels)]
+    return np.flatnonzero((count >= VETO_ROWS) & (toxic < VETO_SHARE * count))
+
+
+def votes_of(rows: list[np.ndarray], labels: np.ndarray, mine: bool) -> np.ndarray:
+    """(rows x voters) 0/1: the voters of the lists and patterns, mined ones, and last the one that votes clean."""
     known = _CLEAN + 1
-    votes = np.zeros((len(rows), known + len(mined)))
+    part = np.arange(len(rows)) % PARTS
+    each: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.uint32), np.empty(0, np.int64))] * PARTS
+    if mine:
+        for f in range(PARTS):  # what the other rows' labels name
+            at = np.flatnonzero(part != f)
+            each[f] = mined(Sparse([rows[i] for i in at]), labels[at]), vetoed([rows[i] for i in at], labels[at])
+    words = np.unique(np.concatenate([e[0] for e in each]))
+    votes = np.zeros((len(rows), known + len(words) + len(MINED_SEVERAL)))
     for i, r in enumerate(rows):
-        votes[i, r[r < VOTERS]] = 1
-        votes[i, known + found(mined, r)] = 1
+        own, veto = each[part[i]]
+        own_votes, hits = judged(r, veto), own[np.isin(own, r)]
+        votes[i, own_votes[own_votes < VOTERS]] = 1
+        votes[i, known + found(words, hits)] = 1
+        votes[i, known + len(words) :] = len(hits) >= np.array(MINED_SEVERAL)
+    votes[:, _CLEAN] *= ~votes[:, known:].any(1)
     others = np.flatnonzero(votes.sum(0) >= max(2, len(rows) // 2000))
-    model = label_model(np.hstack([votes[:, others[others != _CLEAN]], votes[:, [_CLEAN]], labels[:, None] == 0, labels[:, None] == 1]))
+    return np.hstack([votes[:, others[others != _CLEAN]], votes[:, [_CLEAN]]])
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 300, ridge: float = 5e-5, mine: bool = True) -> dict:
+    """The linear classifier, trained on the label model's posteriors. No rows: scores of nearly 0."""
+    if not len(rows):
+        return {"ids": np.empty(0, np.uint32), "w": np.empty(0), "bias": -3.0, "vetoed": np.empty(0, np.int64)}
+    model = label_model(votes_of(rows, labels, mine), labels.mean())
     target = model["posterior"]
+    veto = vetoed(rows, labels) if mine else np.empty(0, np.int64)
+    rows = [judged(r, veto) for r in rows]
+    x = Sparse(rows)
     # n-grams that do not tell the posterior classes apart only add noise to the classifier
     n1, n = target.sum(), len(rows)
     seen = x.back(np.ones(n))
@@ -190,14 +213,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 300, ridge: flo
     lexical = w[(ids >= _FIRST_GROUP) & (ids < _CLEAN)]
     usual = float(np.median(lexical)) if len(lexical) else 3.0
     order = np.argsort(np.concatenate([ids, new]), kind="stable")
-    return {"ids": np.concatenate([ids, new])[order], "w": np.concatenate([w, np.full(len(new), max(usual, 0.0))])[order], "bias": float(bias), "vetoed": vetoed, "label_model": model}
+    return {"ids": np.concatenate([ids, new])[order], "w": np.concatenate([w, np.full(len(new), max(usual, 0.0))])[order], "bias": float(bias), "vetoed": veto, "label_model": model}
 
 
 def probability(model: dict, ids: np.ndarray) -> float:
     return float(sigmoid(model["w"][found(model["ids"], judged(ids, model["vetoed"]))].sum() + model["bias"]))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD, mine: bool = True) -> DataFrame:
     """``docs`` with held_out, score (probability of toxic) and predicted.
 
     Fitted on at most TRAIN_ROWS labelled rows outside the held-out fold. A null text is scored as an empty
@@ -205,4 +228,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", thr
     names of the three results are replaced; equal texts have equal scores.
     """
     rows, y = sample_features(docs, labelled_sample(labels, label), features)
-    return scored(docs, features, probability, {k: v for k, v in fit(rows, y).items() if k != "label_model"}, threshold)
+    return scored(docs, features, probability, {k: v for k, v in fit(rows, y, mine=mine).items() if k != "label_model"}, threshold)
