@@ -42,7 +42,7 @@ YOU = "you your youre u ya tu te vous toi du dich dir ihr usted vosotros ti"
 PHRASES = "shut up|go die|kill yourself|drop dead|hate you|get lost|ta gueule|ferme la|halt maul|verpiss dich|cállate idiota|vete mierda"
 
 #: What a mined voter needs: documents, share of toxic labels among them.
-MINED_ROWS, MINED_SHARE = 4, 0.9
+MINED_ROWS, MINED_SHARE = 3, 0.8
 #: Patterns of the mined lexicon: so many of its entries in one text.
 MINED_SEVERAL = (2, 3, 5)
 #: Parts of the learning rows: what the labels of the others name votes on a part.
@@ -120,10 +120,11 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> dict:
     """Fit the generative model to a (rows x voters) 0/1 array, whose last voter votes clean.
 
     Returns the prior, each voter's rate of firing by class, the correlations left within classes, for each
-    row and voter the votes among which correlated voters share its evidence (it is divided by that), and
-    the posterior probability of each row. A voter that does not fire abstains: it says nothing. ``prior`` is
-    the share of toxic rows. The start gives a row the more, the more voters for toxic fire on it; that alone
-    tells which class is which.
+    row and voter the votes among which correlated voters share its evidence (it is divided by that), the log
+    odds ``base`` of a row without votes, and the posterior probability of each row. A voter's silence says the
+    same of every row on which it is silent, so all silence is in ``base``, which is such that the posteriors'
+    mean is ``prior``, the share of toxic rows. The start gives a row the more, the more voters for toxic fire
+    on it; that alone tells which class is which.
     """
     n, m = votes.shape
     prior = float(np.clip(prior, 1e-3, 0.5))
@@ -138,8 +139,14 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> dict:
             scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             corr = np.maximum(cov / scale[:, None] / scale[None, :], 0) * (1 - np.eye(m))
             shared = 1 + votes @ corr
-        post = sigmoid(np.log(prior / (1 - prior)) + (votes * np.log(t / c) / shared).sum(1))
-    return {"prior": prior, "toxic": t, "clean": c, "correlations": corr, "shared": shared, "posterior": post}
+        gain = np.log(t / c) - np.log((1 - np.minimum(t, 0.999)) / (1 - np.minimum(c, 0.999)))
+        evidence = (votes * gain / shared).sum(1)
+        low, high = -40.0, 40.0
+        for _ in range(50):
+            base = (low + high) / 2
+            low, high = (base, high) if sigmoid(base + evidence).mean() < prior else (low, base)
+        post = sigmoid(base + evidence)
+    return {"prior": prior, "base": base, "gain": gain, "toxic": t, "clean": c, "correlations": corr, "shared": shared, "posterior": post}
 
 
 def mined(x: Sparse, labels: np.ndarray) -> np.ndarray:
@@ -158,19 +165,22 @@ def vetoed(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return np.flatnonzero((count >= VETO_ROWS) & (toxic < VETO_SHARE * count))
 
 
-def votes_of(rows: list[np.ndarray], labels: np.ndarray, mine: bool) -> np.ndarray:
+def named_by_others(rows: list[np.ndarray], labels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each part of the rows the (mined, vetoed) ids that the labels of all other parts name; row i is in part i % PARTS."""
+    out = []
+    for f in range(PARTS):
+        at = np.flatnonzero(np.arange(len(rows)) % PARTS != f)
+        out.append((mined(Sparse([rows[i] for i in at]), labels[at]), vetoed([rows[i] for i in at], labels[at])))
+    return out
+
+
+def votes_of(rows: list[np.ndarray], each: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """(rows x voters) 0/1: the voters of the lists and patterns, mined ones, and last the one that votes clean."""
     known = _CLEAN + 1
-    part = np.arange(len(rows)) % PARTS
-    each: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.uint32), np.empty(0, np.int64))] * PARTS
-    if mine:
-        for f in range(PARTS):  # what the other rows' labels name
-            at = np.flatnonzero(part != f)
-            each[f] = mined(Sparse([rows[i] for i in at]), labels[at]), vetoed([rows[i] for i in at], labels[at])
     words = np.unique(np.concatenate([e[0] for e in each]))
     votes = np.zeros((len(rows), known + len(words) + len(MINED_SEVERAL)))
     for i, r in enumerate(rows):
-        own, veto = each[part[i]]
+        own, veto = each[i % PARTS]
         own_votes, hits = judged(r, veto), own[np.isin(own, r)]
         votes[i, own_votes[own_votes < VOTERS]] = 1
         votes[i, known + found(words, hits)] = 1
@@ -184,7 +194,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 300, ridge: flo
     """The linear classifier, trained on the label model's posteriors. No rows: scores of nearly 0."""
     if not len(rows):
         return {"ids": np.empty(0, np.uint32), "w": np.empty(0), "bias": -3.0, "vetoed": np.empty(0, np.int64)}
-    model = label_model(votes_of(rows, labels, mine), labels.mean())
+    each = named_by_others(rows, labels) if mine else [(np.empty(0, np.uint32), np.empty(0, np.int64))] * PARTS
+    model = label_model(votes_of(rows, each), labels.mean())
     target = model["posterior"]
     veto = vetoed(rows, labels) if mine else np.empty(0, np.int64)
     rows = [judged(r, veto) for r in rows]
