@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and held-out accuracy, on small tables with odd rows."""
 
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -64,7 +65,8 @@ def brute_components(rows):
 
 
 def test_jaccard_against_brute_force(spark, docs, odd):
-    got = Counter(tuple(r) for r in jaccard.ngram_jaccard_join(docs).collect())
+    clash = docs.withColumn("n", F.lit("clash")).withColumn("sig", F.lit("clash")).withColumn("component_id", F.lit("clash"))
+    got = Counter(tuple(r) for r in jaccard.ngram_jaccard_join(clash).collect())
     assert got == brute_components([r[:2] for r in odd])
 
 
@@ -140,6 +142,9 @@ def test_decontamination_against_brute_force(spark, docs, odd):
         finally:
             decontaminate.BLOCK_WINDOWS = before
         assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in rows) == want
+    clash = docs.withColumn("n_hit", F.lit("clash")).withColumn("items", F.lit("clash")).withColumn("h1", F.lit("clash"))
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in decontaminate.contamination(clash, bench).collect()) == want
+    assert decontaminate.contamination(docs.limit(0), bench).count() == 0
     clean = decontaminate.contamination(docs, bench.limit(0)).collect()
     assert not any(r.contaminated for r in clean) and len(clean) == len(odd)
 
@@ -169,7 +174,8 @@ def check_packed(rows, texts):
 
 
 def test_packing(spark, docs, odd):
-    check_packed(packing.pack(docs).collect(), [r[:2] for r in odd] + [])
+    clash = docs.withColumn("piece", F.lit("clash")).withColumn("length", F.lit("clash")).withColumn("sequence_id", F.lit("clash"))
+    check_packed(packing.pack(clash).collect(), [r[:2] for r in odd])
     special = spark.createDataFrame([(1, "a<|endoftext|>b"), (2, None)], "doc_id bigint, text string")
     check_packed(packing.pack(special).collect(), [(1, "a<|endoftext|>b"), (2, None)])
     d = spark.read.parquet(f"{SF}/documents.parquet")
@@ -223,7 +229,33 @@ def test_sharding(spark, docs, odd):
     assert sharding.jump_hash(np.array([1], np.uint64), 1).tolist() == [0]
 
 
-def test_top_k_against_brute_force(spark):
+def test_chat_long_and_empty(spark):
+    long = ["\\" * 1_000_000, "\\" * 100_000 + "</turn>", "### Other(" + "0" * 300_000, "### User: " * 50_000]
+    rows = [(i, 0, "assistant", t) for i, t in enumerate(long)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("formatted", F.lit("clash")).withColumn("mask", F.lit("clash"))
+    started = time.monotonic()
+    found = {r.conv_id: r for r in chat.format_chats(frame).collect()}
+    assert time.monotonic() - started < 30
+    assert [found[i].turns[0].text for i in range(len(long))] == long
+    assert chat.format_chats(frame.limit(0)).count() == 0
+
+
+def test_jump_hash_against_its_definition(spark):
+    def jump(key, n):
+        b, j = -1, 0
+        while j < n:
+            b = j
+            key = (key * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * (2**31 / ((key >> 33) + 1)))
+        return b
+
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("clash").alias("shard"), F.lit("clash").alias("slot"))
+    keys = {r.doc_id: r.h % 2**64 for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    for r in sharding.shard_documents(docs).collect():
+        assert (r.shard, r.grown_shard) == (jump(keys[r.doc_id], 40), jump(keys[r.doc_id], 41))
+
+
+def test_top_k_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(400, 6))
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)] + [(300, [float(x) for x in base[300]])] * 2
@@ -239,6 +271,10 @@ def test_top_k_against_brute_force(spark):
         for place, (s, _, i) in enumerate(sorted(scores, key=lambda x: x[:2])[:10], 1):
             want[(q, place, i, -s)] += 1
     assert got == want
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)  # several query blocks
+    monkeypatch.setattr(topk, "ANNULUS", 7)
+    clash = frame.withColumn("rank", F.lit("clash")).withColumn("id", F.lit("clash")).withColumn("v", F.lit("clash"))
+    assert Counter(tuple(r) for r in topk.exact_top_k(clash, F.col("vec_id") % 100 == 0).collect()) == want
     assert topk.exact_top_k(frame.limit(0), F.lit(True)).count() == 0
 
 
@@ -289,9 +325,64 @@ def test_constants_of_a_host_are_not_main_text(spark):
     assert [rows[60], rows[61]] == [whole.format(0), whole.format(1)]
 
 
-def test_wrapper_expression():
-    shown = extract.expression(extract.infer(["<ul><li>a</li><li>b</li></ul>", "<ul><li>c</li></ul><p>x</p>"]))
-    assert shown == "<#page><ul>(<li>#</li>)+</ul>(<p>x</p>)?</#page>"
+def test_wrapper_expression(spark):
+    pages = [(f"http://w.example.org/{i}", f"<ul><li>a{i}</li><li>b</li></ul>" + "<p>x</p>" * (i % 2)) for i in range(6)]
+    wrapper = extract.wrappers(spark.createDataFrame(pages, "url string, html string").repartition(3))
+    assert extract.expressions(wrapper).first().expression == "(<ul>(<li>#</li>)+</ul>)(<p>=</p>)?"
+
+
+def brute_constants(pages):
+    """Paths by tag names of simple pages whose text is the same wherever it stands, on three different pages or more."""
+    held, of = defaultdict(set), defaultdict(set)
+    for page in pages:
+        for path, told in page:
+            held[path].add(told)
+            of[path].add(page)
+    return {p for p in held if len(held[p]) == 1 and len(of[p]) >= 3}
+
+
+def test_wrappers_against_brute_force(spark, monkeypatch):
+    """Random pages of unmarked blocks; verdicts by broadcast, and by join where they are many."""
+    rng = np.random.default_rng(11)
+    hosts = {f"h{h}.example.org": [tuple((f"c{chr(97 + k)}", f"text {rng.integers(1, 1 + rng.integers(1, 4))} of {k}") for k in range(5) if rng.random() < 0.8) for _ in range(rng.integers(1, 12))] for h in range(12)}
+    rows, want = [], {}
+    for host, pages in hosts.items():
+        gone = brute_constants(pages)
+        gone = gone if any(p not in gone for page in pages for p, _ in page) else set()
+        for page in pages:
+            want[len(rows)] = "\n".join(t for p, t in page if p not in gone)
+            rows.append((len(rows), f"https://{host}/x?y", "".join(f"<div class={p}>{t}</div>" for p, t in page)))
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash")).repartition(5)
+    for most in (extract.WRAPPER_BYTES, 0):
+        monkeypatch.setattr(extract, "WRAPPER_BYTES", most)
+        assert {r.page_id: r.text for r in extract.extract(frame).collect()} == want
+    assert extract.extract(frame.limit(0)).count() == 0
+    twice = extract.extract(frame.union(frame)).groupBy("page_id").count().collect()
+    assert {r["count"] for r in twice} == {2}
+
+
+def test_vague_names(spark):
+    """A name that may mean anything rules text out only where the wrapper cannot tell; lists of links go."""
+    page = "<article><h1 class='alert'>Title {0}</h1><div class='share-price'>Shares rose {0}</div><div class='related'>Found {0}</div><div class='related-links'><a>More {0}</a></div><p class='alert'>Take {0}</p></article>"
+    pages = [(i, f"http://many.example.org/{i}", page.format(i)) for i in range(5)] + [(9, "http://one.example.org/", page.format(9))]
+    rows = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert rows[9] == "Title 9\nShares rose 9\nTake 9"
+    assert all(rows[i] == f"Title {i}\nShares rose {i}\nFound {i}\nTake {i}" for i in range(5))
+
+
+@pytest.mark.parametrize(
+    "page,told",
+    [
+        ("<article><p>a</p><svg/><p>b</p></article>", "a\nb"), ("<p>a<iframe/></p><p>b</p>", "a\nb"), ("<article><p>a</p><object><p>b</p></article>", "a\nb"), ("<p title='it's'>hello</p>", "hello"),
+        ("<svg><svg><text>x</text></svg><text>leak</text></svg><p>ok</p>", "ok"), ("<form><article>in</article></form>", "in"), ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "a\nb\nc\nd"), ("<p>x < y &amp;&lt;</p>", "x < y &<"),
+        ("<article>" + "<div>" * 10_000 + "x" + "</div>" * 10_000, "x"), ("<article>" + "<b>" * 10_000 + "x", "x"), ("<b><div></i></div>" * 10_000 + "x", "x"), ("<script>" * 10_000 + "x", "x"), ("<p a" + " " * 200_000 + ">x", "x"),
+        ("<p " + "a= " * 100_000 + ">x", "x"), ("<" * 100_000, "<" * 100_000), ("".join(f"<p>{i}" for i in range(30_000)), "\n".join(map(str, range(30_000)))), ("<ul>" * 5_000 + "<li>" * 10_000 + "x", "x"),
+    ],
+)
+def test_hostile_pages(page, told):
+    started = time.monotonic()
+    assert extract.main_text(page) == told
+    assert time.monotonic() - started < 10
 
 
 def auc(score, y):
@@ -310,6 +401,73 @@ def test_classifiers_on_held_out_rows(spark, name, label, least):
     assert ((both.predicted == 1) & (both[label] == 0)).sum() <= 3
 
 
+def weak_rows(rng, n=600):
+    """Texts in which toxic ones hold lexicon words or words of a slang of their own, with true labels."""
+    y = rng.random(n) < 0.2
+    rows = []
+    for toxic in y:
+        own = [f"word{rng.integers(300)}" for _ in range(20)]
+        if toxic:
+            own += list(rng.choice(["idiot", "moron", "scum", "trash"] if rng.random() < 0.5 else [f"slang{k}" for k in range(6)], 3))
+        rows.append(toxicity.features(" ".join(own).encode()))
+    return rows, y.astype(int)
+
+
+def test_labels_are_no_votes():
+    rows, y = weak_rows(np.random.default_rng(1))
+    shuffled = np.random.default_rng(2).permutation(y)
+    one, two = (toxicity.fit(rows, labels, steps=5, mine=False)["label_model"]["posterior"] for labels in (y, shuffled))
+    assert np.array_equal(one, two)
+    named = toxicity.named_by_others(rows, y)
+    for i in np.flatnonzero(y)[:5]:  # a row's own label does not name what votes on it
+        flipped = y.copy()
+        flipped[i] = 0
+        other = toxicity.named_by_others(rows, flipped)
+        assert all(np.array_equal(a, b) for a, b in zip(named[i % toxicity.PARTS], other[i % toxicity.PARTS], strict=True))
+    found = toxicity.fit(rows, y, steps=5)["label_model"]["posterior"] > 0.5
+    assert (found == y).mean() > 0.95 and (one[y == 1] > 0.5).mean() < 0.7 < (found[y == 1]).mean()
+
+
+def test_label_model_against_enumeration():
+    """Independent voters with known rates: the rates come back, and the posterior is Bayes' rule over both classes."""
+    rng = np.random.default_rng(4)
+    toxic, clean = np.array([0.7, 0.6, 0.5, 0.5, 0.05]), np.array([0.02, 0.05, 0.02, 0.1, 0.8])
+    y = rng.random(6000) < 0.25
+    votes = (rng.random((6000, 5)) < np.where(y[:, None], toxic, clean)).astype(float)
+    model = toxicity.label_model(votes, 0.25)
+    assert np.abs(model["toxic"] - toxic).max() < 0.05 and np.abs(model["clean"] - clean).max() < 0.05
+    assert abs(model["posterior"].mean() - 0.25) < 1e-3
+    each = {tuple(row): p for row, p in zip(votes, model["posterior"], strict=True)}
+    for row, got in each.items():  # every pattern of votes, both classes spelled out
+        both = [p * np.prod([r if fires else 1 - r for r, fires in zip(rates, row, strict=True)]) for p, rates in ((0.25, toxic), (0.75, clean))]
+        assert abs(both[0] / sum(both) - got) < 0.2
+    assert ((model["posterior"] > 0.5) == y).mean() > 0.95
+
+
+def test_packed_exchange_against_counting(spark, monkeypatch):
+    """Hits by brute force, at part numbers beyond 16 bits and with single-entry rows."""
+    monkeypatch.setattr(meet, "KEYS_A_PART", 1)
+    monkeypatch.setattr(meet, "CHUNK_KEYS", 500)
+    monkeypatch.setattr(meet, "MOST_KEYS", 500)
+    rng = np.random.default_rng(9)
+    rows = [(i, -i, " ".join(f"w{rng.zipf(1.3) % 400}" for _ in range(rng.integers(1, 60)))) for i in range(200)]
+
+    def entries(text):
+        w = text.split()
+        h = np.array([zlib.crc32(x) << 32 | zlib.crc32(b"y" + x) for x in w], np.uint64)
+        return h, np.arange(len(w), dtype=np.uint32) // 3, np.array([x.endswith((b"1", b"2")) for x in w]), -(-len(w) // 3)
+
+    count, marked = Counter(w for *_, t in rows for w in t.split()), lambda w: w.endswith(("1", "2"))
+    want = {}
+    for h1, _, t in rows:
+        if units := sorted({k // 3 for k, w in enumerate(t.split()) if count[w] > 1 and marked(w)}):
+            want[h1] = units
+    frame = spark.createDataFrame(rows, "h1 bigint, h2 bigint, text string").repartition(4)
+    for exact in (True, False):
+        got = meet.shared_units(frame, entries, 200_000, exact).collect()
+        assert {r.h1: np.frombuffer(r.units, np.uint32).tolist() for r in got} == want
+
+
 def test_classifiers_on_odd_rows(spark, docs, odd):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
     for run in (quality.score_quality, toxicity.score_toxicity):
