@@ -203,7 +203,7 @@ SQL = {
     "rrf_fuse": _bm25(40) + f", {_NEAR}, {_FUSED} SELECT query_id, memory_id, score FROM fu",
     "candidate_admission": _bm25(40)
     + f""", {_NEAR}, {_FUSED}, any_lex AS (SELECT query_id, max(lex) AS l FROM fu GROUP BY query_id),
-      k AS {terms('m', 'content', 1024, name='own_terms')}
+      k AS {terms("(SELECT *, content || chr(10) || array_to_string(terms, ' ') AS _both FROM own)", '_both', 1024, name='own_terms')}
       SELECT fu.query_id, fu.memory_id FROM fu JOIN any_lex USING (query_id) JOIN a ON a.query_id = fu.query_id JOIN k ON k.memory_id = fu.memory_id
       WHERE l = 0 OR lex = 1 OR list_has_any(list_filter(a.terms, lambda t: length(t) > 2), k.own_terms)""",
     "expand_neighbors": _bm25(40)
