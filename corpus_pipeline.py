@@ -1,7 +1,9 @@
 """Corpus preparation as a chain of training-data operators over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and works on everything that the stage before it kept; all but the
-last return the columns of ``documents``.
+last return the columns of ``documents``. A null text counts as empty; such rows, empty tables, repeated rows
+and further columns pass through every stage as its operator says, and verdicts go to rows, told by their
+doc_id and their text's key, so that a null or repeated doc_id takes nothing else with it.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import decontaminate, filters, jaccard, packing, substring, toxicity
-from gleaner.llm.common import settle
+from gleaner.llm.common import discard, scratch, settle
 
 #: No SQL states this: a classifier and a tokenizer take part. tests/llm holds it against a brute-force version.
 ORACLE_SQL = None
@@ -61,10 +63,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each to the written result of the one before."""
+    """Apply the stages to ``documents``, each to the written result of the one before.
+
+    A stage's table and all that it wrote on the way are removed once the next one is written; only the last
+    result stays.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for place, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if place < len(STAGES) - 1:
-            docs = settle(docs)
+    for _, stage in STAGES:
+        with scratch(spark):
+            done = settle(stage(spark, docs, sf_dir), outlast=True)
+        discard(docs)
+        docs = done
     return docs

@@ -535,3 +535,26 @@ def test_pipeline_judges_rows_not_ids(spark, tmp_path):
     # two near copies and, of the leaks (16 of 17 shingles shared), the one without an id
     assert told(one) == Counter(r for r in rows if r not in [(None, copy), (2, copy + " end"), (None, leak)])
     assert told(P.drop_contaminated(spark, docs, str(tmp_path))) == Counter(r for r in rows if r not in [(None, leak), (3, leak + " more")])
+
+
+def test_pipeline_run(spark, tmp_path):
+    """run() itself on odd rows: nulls, repeats, near copies, items, further columns by clashing names; and on none."""
+    import os
+
+    import corpus_pipeline as P
+
+    copy, leak, toxic = " ".join(words("w", 60)), " ".join(words("item", 20)), "you idiot scum moron trash " * 3
+    rows = [(1, copy), (2, copy + " end"), (None, None), (None, None), (3, ""), (4, leak + " more"), (5, toxic), (6, "clean text of its own"), (6, "clean text of its own")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1) for i, t in rows], DOC + ", h1 string, score int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(100 + i, 1, int(i % 3 == 0)) for i in range(60)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = P.run(spark, str(tmp_path))
+    assert Counter(r.doc_id for r in got.collect()) - Counter({5: 1}) == Counter({None: 1, 1: 1, 3: 1, 6: 1})
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert P.run(spark, f"{tmp_path}/none").count() == 0
+    left = {x for x in os.listdir(got.settled_at.removeprefix("file:").rsplit("/", 1)[0])}
+    assert os.path.basename(got.settled_at) in left
