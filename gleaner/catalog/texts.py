@@ -107,8 +107,23 @@ def cache_digest(spark, sf):
     return questions(spark, sf).select("query_id", F.sha2(F.concat(F.lit("["), json_string(F.col("query")), F.lit(",null]")), 256).alias("digest"))
 
 
+#: Planted texts for the scan, put together here so that no text of this file looks like a secret itself.
+SECRET_TEXTS = [
+    (-1, "x -----BEGIN RSA " + "PRIVATE KEY----- y"), (-2, "key sk-" + "a1B2" * 6), (-3, "Bearer " + "q9" * 12 + " and AKIA" + "Z7" * 8), (-4, "ghp_" + "k3" * 12),
+    (-5, "Bearer $TOKEN_FROM_ENVIRONMENT_VARIABLE"), (-6, "sk-short AKIA123"),
+]
+
+
 def secret_scan(spark, sf):
-    return audit.secret_scan(table(spark, sf, "documents"), "doc_id", "text")
+    """Every document, and a few planted texts."""
+    planted = spark.createDataFrame(SECRET_TEXTS, "doc_id bigint, text string")
+    return audit.secret_scan(table(spark, sf, "documents").select("doc_id", "text").unionByName(planted), "doc_id", "text")
+
+
+def long_query_terms(spark, sf):
+    """Every document's beginning as a question that is too long for its short way; the whole text is the question."""
+    rows = table(spark, sf, "documents").select("doc_id", "text")
+    return rows.select("doc_id", text.query_terms(F.col("text"), 512).alias("terms")).select("doc_id", F.size("terms").cast("long").alias("n"), F.sha2(F.array_join("terms", " "), 256).alias("terms_sha256"))
 
 
 def url_check(spark, sf):
@@ -126,7 +141,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_text, lexical_terms, cjk_ngrams, semantic_terms, fts_query_build, temporal_intent, update_marker, estimate_tokens, bounded_query, clause_split,
-        explicit_date_range, event_day_range, prefix_terms, like_terms, render_time, mock_embedding, weighted_embedding, cache_digest, secret_scan, url_check, percentiles,
+        explicit_date_range, event_day_range, prefix_terms, like_terms, render_time, mock_embedding, weighted_embedding, cache_digest, secret_scan, long_query_terms, url_check, percentiles,
     )
 }
 
@@ -171,7 +186,7 @@ SQL = {
     "mock_embedding": f"WITH {MEMORIES} SELECT memory_id, round(v[1], 9) AS first, round(list_sum(v), 6) AS total FROM (SELECT memory_id, {_HEX} AS v FROM m)",
     "weighted_embedding": "SELECT label::BIGINT AS label, round(sum(embedding[1]::DOUBLE * (vec_id + 1)) / sum(vec_id + 1), 6) AS first, round(sum(embedding[64]::DOUBLE * (vec_id + 1)) / sum(vec_id + 1), 6) AS last FROM embeddings GROUP BY label",
     "cache_digest": f"WITH {QUESTIONS} SELECT query_id, sha256('[' || to_json(query) || ',null]') AS digest FROM q",
-    "secret_scan": "SELECT doc_id, kind FROM documents, "
+    "secret_scan": f"SELECT doc_id, kind FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {values(SECRET_TEXTS, 'doc_id, text')}), "
     + values([(k, p.replace("(?!\\$)", "")) for k, p in L.SECRETS.items()], "kind, pattern")
     + " WHERE regexp_matches(text, pattern)",
     "url_check": r"""SELECT page_id, coalesce(contains(h, '.') AND NOT (regexp_matches(h, '^(?:localhost|127\..*|10\..*|192\.168\..*|172\.(?:1[6-9]|2\d|3[01])\..*|169\.254\..*|0\.0\.0\.0)$')
