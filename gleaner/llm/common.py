@@ -86,8 +86,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _remove(spark, name)
 
 
-def _trim() -> None:
-    """Give memory that is not in use back to the machine: Python workers outlive their tasks."""
+def trim() -> None:
+    """Give memory that is not in use back to the machine: Python workers outlive their tasks, the driver its fits."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -102,7 +102,7 @@ def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
         try:
             yield from run(b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP))
         finally:
-            _trim()
+            trim()
 
     return df.mapInArrow(bounded, schema)
 

@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import as_bytes, in_batches
+from .common import as_bytes, in_batches, trim
 
 #: Labelled rows that a classifier is fitted on at most: those first by a hash of their id.
 TRAIN_ROWS = 5000
 #: Rows of the sample that a feature must be seen in.
 SEEN = 2
+#: Entries of the sample's rows that are summed at once.
+BLOCK = 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -43,6 +45,7 @@ def sample_features(docs: DataFrame, sample: DataFrame, features: Callable[[byte
     kind = docs.schema["doc_id"].dataType.simpleString()
     picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
     rows = in_batches(picked, run, f"doc_id {kind}, y int, f binary").toArrow().to_pylist()
+    trim()
     rows.sort(key=lambda r: (r["doc_id"], r["f"]))  # the fit does not depend on the order of tasks
     return [np.frombuffer(r["f"], np.uint32) for r in rows], np.array([r["y"] for r in rows], np.int64)
 
@@ -51,19 +54,34 @@ class Sparse:
     """Rows of feature ids over a kept vocabulary, as one flat array."""
 
     def __init__(self, rows: list[np.ndarray]):
+        # most features are seen once: they go before anything is sorted, as their bucket is seen once
+        often = np.zeros(1 << 24, np.uint8)
+        for r in rows:
+            often[r >> 8] = np.minimum(often[r >> 8] + 1, SEEN)
+        rows = [r[often[r >> 8] >= SEEN] for r in rows]
+        size = [len(r) for r in rows]
         flat = np.concatenate(rows) if rows else np.empty(0, np.uint32)
+        del rows, often
         ids, counts = np.unique(flat, return_counts=True)
         self.ids = ids[counts >= SEEN]
-        places = [found(self.ids, r) for r in rows]
-        self.rows = places
-        self.columns = np.concatenate(places) if places else np.empty(0, np.int32)
-        self.owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p in places])
+        self.columns, ends, end, at = np.empty(len(flat), np.int32), [], 0, 0
+        for n in size:
+            own = found(self.ids, flat[at : at + n])
+            self.columns[end : end + len(own)] = own
+            at, end = at + n, end + len(own)
+            ends.append(end)
+        self.columns = self.columns[:end]
+        self.rows = np.split(self.columns, ends[:-1]) if size else []
+        self.owner = np.repeat(np.arange(len(size), dtype=np.int16 if len(size) < 1 << 15 else np.int32), [len(r) for r in self.rows])
+
+    def _blocks(self):
+        return (slice(a, a + BLOCK) for a in range(0, len(self.columns), BLOCK))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, w[self.columns], minlength=len(self.rows))
+        return sum((np.bincount(self.owner[b], w[self.columns[b]], minlength=len(self.rows)) for b in self._blocks()), np.zeros(len(self.rows)))
 
     def back(self, v: np.ndarray) -> np.ndarray:
-        return np.bincount(self.columns, v[self.owner], minlength=len(self.ids))
+        return sum((np.bincount(self.columns[b], v[self.owner[b]], minlength=len(self.ids)) for b in self._blocks()), np.zeros(len(self.ids)))
 
 
 def found(ids: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -84,6 +102,7 @@ def scored(docs: DataFrame, features: Callable[[bytes], np.ndarray], score: Call
     Rows go to Python and back as they are, a bounded number at a time, the text among them once.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    trim()
     names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     given = docs.select(*names)
 

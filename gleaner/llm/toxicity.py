@@ -126,21 +126,24 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> dict:
     mean is ``prior``, the share of toxic rows. The start gives a row the more, the more voters for toxic fire
     on it; that alone tells which class is which.
     """
+    votes = votes.astype(np.float32)
     n, m = votes.shape
     prior = float(np.clip(prior, 1e-3, 0.5))
     post = np.array([0.01, 0.5, 0.9, 0.95])[np.minimum(votes[:, :-1].sum(1), 3).astype(int)]
-    corr, shared = np.zeros((m, m)), np.ones((n, m))
+    corr, shared = np.zeros((m, m)), np.ones((n, m), np.float32)
     for step in range(rounds):
         t = (post @ votes + 0.1) / (post.sum() + 1)
         c = ((1 - post) @ votes + 0.1) / ((1 - post).sum() + 1)
         if step in (rounds // 4, rounds // 2):  # correlations within classes, at the rates so far
-            rest = np.concatenate([(votes - t) * np.sqrt(post)[:, None], (votes - c) * np.sqrt(1 - post)[:, None]])
-            cov = rest.T @ rest / n
+            cov = np.zeros((m, m))
+            for rates, weight in ((t, post), (c, 1 - post)):
+                rest = (votes - rates.astype(np.float32)) * np.sqrt(weight).astype(np.float32)[:, None]
+                cov += rest.T @ rest / n
             scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             corr = np.maximum(cov / scale[:, None] / scale[None, :], 0) * (1 - np.eye(m))
-            shared = 1 + votes @ corr
+            shared = 1 + votes @ corr.astype(np.float32)
         gain = np.log(t / c) - np.log((1 - np.minimum(t, 0.999)) / (1 - np.minimum(c, 0.999)))
-        evidence = (votes * gain / shared).sum(1)
+        evidence = (votes / shared) @ gain
         low, high = -40.0, 40.0
         for _ in range(50):
             base = (low + high) / 2
@@ -149,28 +152,30 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> dict:
     return {"prior": prior, "base": base, "gain": gain, "toxic": t, "clean": c, "correlations": corr, "shared": shared, "posterior": post}
 
 
-def mined(x: Sparse, labels: np.ndarray) -> np.ndarray:
-    """Ids of the n-grams that toxic labels go with."""
-    toxic = x.back((labels == 1).astype(float))
-    share = toxic / np.maximum(x.back(np.ones(len(labels))), 1)
-    return x.ids[(toxic >= max(MINED_ROWS, len(labels) // 1000)) & (share >= MINED_SHARE) & (x.ids >= VOTERS)]
-
-
-def vetoed(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Lexicon words that labelled rows show to mean something else."""
+def _hits(rows: list[np.ndarray]) -> np.ndarray:
     hits = np.zeros((len(rows), _FIRST_GROUP), bool)
     for i, r in enumerate(rows):
         hits[i, r[r < _FIRST_GROUP]] = True
-    count, toxic = hits.sum(0), hits[labels == 1].sum(0)
+    return hits
+
+
+def _vetoed(count: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Lexicon words that labelled rows show to mean something else."""
     return np.flatnonzero((count >= VETO_ROWS) & (toxic < VETO_SHARE * count))
 
 
-def named_by_others(rows: list[np.ndarray], labels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each part of the rows the (mined, vetoed) ids that the labels of all other parts name; row i is in part i % PARTS."""
-    out = []
+def named_by_others(x: Sparse, hits: np.ndarray, labels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each part of the rows the (mined, vetoed) ids that the labels of all other parts name; row i is in part i % PARTS.
+
+    ``x`` holds the rows' n-grams, ``hits`` which lexicon words they have. Mined are the n-grams that toxic
+    labels go with.
+    """
+    y, part, out = (labels == 1).astype(float), np.arange(len(labels)) % PARTS, []
     for f in range(PARTS):
-        at = np.flatnonzero(np.arange(len(rows)) % PARTS != f)
-        out.append((mined(Sparse([rows[i] for i in at]), labels[at]), vetoed([rows[i] for i in at], labels[at])))
+        other = (part != f).astype(float)
+        count, toxic = x.back(other), x.back(other * y)
+        good = (toxic >= max(MINED_ROWS, int(other.sum()) // 1000)) & (toxic >= MINED_SHARE * count) & (x.ids >= VOTERS)
+        out.append((x.ids[good], _vetoed(hits[part != f].sum(0), hits[(part != f) & (labels == 1)].sum(0))))
     return out
 
 
@@ -178,7 +183,7 @@ def votes_of(rows: list[np.ndarray], each: list[tuple[np.ndarray, np.ndarray]])
     """(rows x voters) 0/1: the voters of the lists and patterns, mined ones, and last the one that votes clean."""
     known = _CLEAN + 1
     words = np.unique(np.concatenate([e[0] for e in each]))
-    votes = np.zeros((len(rows), known + len(words) + len(MINED_SEVERAL)))
+    votes = np.zeros((len(rows), known + len(words) + len(MINED_SEVERAL)), np.float32)
     for i, r in enumerate(rows):
         own, veto = each[i % PARTS]
         own_votes, hits = judged(r, veto), own[np.isin(own, r)]
@@ -194,19 +199,19 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 300, ridge: flo
     """The linear classifier, trained on the label model's posteriors. No rows: scores of nearly 0."""
     if not len(rows):
         return {"ids": np.empty(0, np.uint32), "w": np.empty(0), "bias": -3.0, "vetoed": np.empty(0, np.int64)}
-    each = named_by_others(rows, labels) if mine else [(np.empty(0, np.uint32), np.empty(0, np.int64))] * PARTS
+    hits = _hits(rows)
+    veto = _vetoed(hits.sum(0), hits[labels == 1].sum(0)) if mine else np.empty(0, np.int64)
+    x = Sparse([judged(r, veto) for r in rows])
+    each = named_by_others(x, hits, labels) if mine else [(np.empty(0, np.uint32), np.empty(0, np.int64))] * PARTS
     model = label_model(votes_of(rows, each), labels.mean())
     target = model["posterior"]
-    veto = vetoed(rows, labels) if mine else np.empty(0, np.int64)
-    rows = [judged(r, veto) for r in rows]
-    x = Sparse(rows)
     # n-grams that do not tell the posterior classes apart only add noise to the classifier
     n1, n = target.sum(), len(rows)
     seen = x.back(np.ones(n))
     apart = (x.back(target) - seen * n1 / n) / np.sqrt(np.maximum(seen * (n1 / n) * (1 - n1 / n) * (1 - seen / (n + 1)), 1e-9))
     kept = np.flatnonzero((np.abs(apart) >= APART) | (x.ids < VOTERS))
-    ids, inside = x.ids[kept], np.full(len(x.ids), -1)
-    inside[kept] = np.arange(len(kept))
+    ids, inside = x.ids[kept], np.full(len(x.ids), -1, np.int32)
+    inside[kept] = np.arange(len(kept), dtype=np.int32)
     columns, owner = inside[x.columns], x.owner
     columns, owner = columns[columns >= 0], owner[columns >= 0]
     w, bias = np.zeros(len(ids)), float(np.log(target.mean() / max(1 - target.mean(), 1e-6)))

@@ -418,11 +418,12 @@ def test_labels_are_no_votes():
     shuffled = np.random.default_rng(2).permutation(y)
     one, two = (toxicity.fit(rows, labels, steps=5, mine=False)["label_model"]["posterior"] for labels in (y, shuffled))
     assert np.array_equal(one, two)
-    named = toxicity.named_by_others(rows, y)
+    x, hits = toxicity.Sparse(rows), toxicity._hits(rows)
+    named = toxicity.named_by_others(x, hits, y)
     for i in np.flatnonzero(y)[:5]:  # a row's own label does not name what votes on it
         flipped = y.copy()
         flipped[i] = 0
-        other = toxicity.named_by_others(rows, flipped)
+        other = toxicity.named_by_others(x, hits, flipped)
         assert all(np.array_equal(a, b) for a, b in zip(named[i % toxicity.PARTS], other[i % toxicity.PARTS], strict=True))
     found = toxicity.fit(rows, y, steps=5)["label_model"]["posterior"] > 0.5
     assert (found == y).mean() > 0.95 and (one[y == 1] > 0.5).mean() < 0.7 < (found[y == 1]).mean()
