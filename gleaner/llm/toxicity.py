@@ -41,8 +41,8 @@ YOU = "you your youre u ya tu te vous toi du dich dir ihr usted vosotros ti"
 #: Set phrases of two words.
 PHRASES = "shut up|go die|kill yourself|drop dead|hate you|get lost|ta gueule|ferme la|halt maul|verpiss dich|cállate idiota|vete mierda"
 
-#: What a mined voter needs: documents, share of toxic labels among them.
-MINED_ROWS, MINED_SHARE = 3, 0.8
+#: What a mined voter needs: toxic rows, as a number and as a share of all rows, and the share of toxic ones among its rows.
+MINED_ROWS, MINED_LEAST, MINED_SHARE = 3, 0.002, 0.9
 #: Patterns of the mined lexicon: so many of its entries in one text.
 MINED_SEVERAL = (2, 3, 5)
 #: Parts of the learning rows: what the labels of the others name votes on a part.
@@ -168,13 +168,16 @@ def named_by_others(x: Sparse, hits: np.ndarray, labels: np.ndarray) -> list[tup
     """For each part of the rows the (mined, vetoed) ids that the labels of all other parts name; row i is in part i % PARTS.
 
     ``x`` holds the rows' n-grams, ``hits`` which lexicon words they have. Mined are the n-grams that toxic
-    labels go with.
+    labels go with; of those that stand in the very same rows, as those of copies do, one.
     """
+    sums = x.back(np.random.default_rng(5).random(len(labels)))
+    single = np.zeros(len(x.ids), bool)
+    single[np.unique(np.round(sums, 9), return_index=True)[1]] = True
     y, part, out = (labels == 1).astype(float), np.arange(len(labels)) % PARTS, []
     for f in range(PARTS):
         other = (part != f).astype(float)
         count, toxic = x.back(other), x.back(other * y)
-        good = (toxic >= max(MINED_ROWS, int(other.sum()) // 1000)) & (toxic >= MINED_SHARE * count) & (x.ids >= VOTERS)
+        good = (toxic >= max(MINED_ROWS, MINED_LEAST * other.sum())) & (toxic >= MINED_SHARE * count) & (x.ids >= VOTERS) & single
         out.append((x.ids[good], _vetoed(hits[part != f].sum(0), hits[(part != f) & (labels == 1)].sum(0))))
     return out
 
