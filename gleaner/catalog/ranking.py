@@ -174,8 +174,8 @@ def hit_rate(spark, sf):
 def end_to_end_search(spark, sf):
     """The whole search for every benchmark item."""
     m = settle(memories(spark, sf))
-    built = index.build(m)
-    built = index.Index(settle(built.postings), settle(built.docs))
+    built = engine.build_index(m, EngineConfig())
+    built = index.Index(settle(built.postings), settle(built.docs), settle(built.terms))
     embedded = settle(ingest.embeddings(m, models.local_embedding(F.col("content")), "mock-64"))
     q = questions(spark, sf).select("query_id", "user_id", "query", F.lit(None).cast("array<string>").alias("options"), F.lit(10).alias("top_k"))
     return engine.search(q, m, built, embedded, EngineConfig()).select("query_id", "place", "id", "content", "score")

@@ -106,16 +106,33 @@ def phrase_bonus(query: Column, content: Column) -> Column:
     return let(normalize(query), lambda q: F.when((F.length(q) >= 4) & F.contains(normalize(content), q), 1.0).otherwise(0.0))
 
 
+def held_terms(*values: Column) -> Column:
+    """What coverage() looks terms up in: any of the values' first 512 terms."""
+    return F.array_distinct(F.flatten(F.array(*(lexical_terms(v, 512) for v in values))))
+
+
 def coverage(terms: Column, *values: Column) -> Column:
     """Share of the (distinct) ``terms`` that any of the values' first 512 terms hold; 0 without terms."""
-    held = F.flatten(F.array(*(lexical_terms(v, 512) for v in values)))
+    return covered(terms, held_terms(*values))
+
+
+def covered(terms: Column, held: Column) -> Column:
+    """Share of the (distinct) ``terms`` among the ``held`` ones; 0 without terms."""
     return F.when(F.size(terms) > 0, F.size(F.array_intersect(terms, held)) / F.size(F.array_distinct(terms))).otherwise(0.0)
 
 
+def whole_terms(content: Column, indexed: Column) -> Column:
+    """What lexical_overlap() looks terms up in."""
+    return lexical_terms(F.concat(content, F.lit("\n"), F.coalesce(indexed, F.lit(""))), 1024)
+
+
 def lexical_overlap(terms: Column, content: Column, indexed: Column) -> Column:
     """Whether a query term of some length (two CJK characters, three others) is among the content's terms."""
-    asked = F.filter(terms, lambda t: (F.length(t) > 2) | (F.length(t) >= 2) & t.rlike(f"^{L.CJK}$"))
-    return F.arrays_overlap(asked, lexical_terms(F.concat(content, F.lit("\n"), F.coalesce(indexed, F.lit(""))), 1024))
+    return overlapping(terms, whole_terms(content, indexed))
+
+
+def overlapping(terms: Column, whole: Column) -> Column:
+    return F.arrays_overlap(F.filter(terms, lambda t: (F.length(t) > 2) | (F.length(t) >= 2) & t.rlike(f"^{L.CJK}$")), whole)
 
 
 def has_marker(normalized: Column, markers: Sequence[str]) -> Column:

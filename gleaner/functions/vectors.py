@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 MOCK_DIMENSIONS = 64
 
 
@@ -26,12 +28,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 def mock_embedding(text: Column, dimensions: int = MOCK_DIMENSIONS, unit: bool = True) -> Column:
     """Bytes of the text's SHA-256, in turn, scaled to -1..1; of length one if ``unit``."""
-    digest = F.sha2(text, 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 * 2.0 - 1.0)
+    places = F.sequence(F.lit(0), F.lit(dimensions - 1))
+    raw = let(F.sha2(text, 256), lambda d: F.transform(places, lambda i: F.conv(F.substring(d, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 * 2.0 - 1.0))
     if not unit:
         return raw
-    size = F.sqrt(dot(raw, raw))
-    return F.transform(raw, lambda x: x / F.when(size > 0, size).otherwise(1.0))
+    scaled = lambda v, size: F.transform(v, lambda x: x / F.when(size > 0, size).otherwise(1.0))
+    return let(raw, lambda v: let(F.sqrt(dot(v, v)), lambda size: scaled(v, size)))
 
 
 def weighted_mean(vectors: Column, weights: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, temporal, text
+from . import index
 from .index import positions
 
 FUSION_K = 60
@@ -29,11 +30,14 @@ def fuse(*channels: DataFrame) -> DataFrame:
 def admit(fused: DataFrame, queries: DataFrame, memories: DataFrame) -> DataFrame:
     """Candidates of lexical (0), vector (1) and date (2) channels that may stay.
 
-    Where terms matched anything, a row that only its vector brought must share a term with the query.
+    Where terms matched anything, a row that only its vector brought must share a term with the query: only
+    such rows meet their text, or its terms where ``memories`` has them as ``whole``.
     """
     any_term = F.max("in_0").over(Window.partitionBy("query_id"))
-    rows = fused.withColumn("_terms", any_term).join(queries.select("query_id", "terms"), "query_id").join(memories.select("memory_id", "content", "search_text"), "memory_id")
-    kept = rows.where(~F.col("_terms") | F.col("in_0") | F.col("in_2") | text.lexical_overlap(F.col("terms"), F.col("content"), F.col("search_text")))
+    rows = fused.withColumn("_sure", ~any_term | F.col("in_0") | F.col("in_2"))
+    whole = F.col("whole") if "whole" in memories.columns else text.whole_terms(F.col("content"), F.col("search_text"))
+    unsure = rows.where(~F.col("_sure")).join(queries.select("query_id", "terms"), "query_id").join(memories.select("memory_id", whole.alias("_whole")), "memory_id")
+    kept = rows.where("_sure").select(*fused.columns).unionByName(unsure.where(text.overlapping(F.col("terms"), F.col("_whole"))).select(*fused.columns))
     order = Window.partitionBy("query_id").orderBy("rank")
     return kept.withColumn("_r", F.row_number().over(order).cast("long")).select(*[c for c in fused.columns if c != "rank"], F.col("_r").alias("rank"))
 
@@ -69,16 +73,18 @@ def suppress(candidates: DataFrame, asked: DataFrame, markers: Sequence[str] = l
     """``candidates`` without rows that a later correction of the same query supersedes.
 
     ``candidates`` holds query_id, memory_id, content, request_id, ordinal, row_id, occurred_at, created_at;
-    ``asked`` (query_id, asked_terms) the terms of the question (null: not known). A row with a statement of
+    ``asked`` (query_id, asked_terms) the terms of the question (null: not known). Where ``candidates`` has
+    the columns of index.told(), they are used instead of the text (and of ``markers``). A row with a statement of
     its own that the question asks about is kept. One pass: a superseded correction still counts. Pairs are
     corrections by candidates of one query, both bounded by the channels' limits.
     """
-    terms = text.lexical_terms(F.col("content"), 96)
-    rows = candidates.select("query_id", "memory_id", "request_id", "ordinal", "row_id", "occurred_at", "created_at", "content", terms.alias("terms"))
-    newer = rows.where(text.has_update_marker(F.col("content"), markers) & (F.size("terms") > 0)).drop("content")
+    rows = candidates if "claims" in candidates.columns else candidates.join(
+        index.told(candidates.select("memory_id", "content", F.lit("").alias("search_text")).dropDuplicates(["memory_id"]), markers), "memory_id"
+    )
+    rows = rows.select("query_id", "memory_id", "request_id", "ordinal", "row_id", "occurred_at", "created_at", F.col("brief").alias("terms"), "claims", "updates")
+    newer = rows.where(F.col("updates") & (F.size("terms") > 0)).drop("claims", "updates")
     newer = newer.select("query_id", *(F.col(c).alias(f"n_{c}") for c in newer.columns if c != "query_id"))
-    claims = F.transform(text.clauses(F.col("content")), lambda part: text.lexical_terms(part, 96))
-    older = rows.where(F.size("terms") > 0).withColumn("claims", claims).drop("content").join(asked.select("query_id", "asked_terms"), "query_id")
+    older = rows.where(F.size("terms") > 0).join(asked.select("query_id", "asked_terms"), "query_id")
     fields = ("occurred_at", "created_at", "request_id", "ordinal", "row_id")
     later = temporal.is_later({c: F.col(f"n_{c}") for c in fields}, {c: F.col(c) for c in fields})
     alike = F.size(F.array_intersect("n_terms", "terms")) / F.size("n_terms") >= share

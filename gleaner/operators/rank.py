@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, temporal, text
+from . import index
 from .candidates import neighbours
 
 WEIGHTS = {"terms": 0.40, "place": 0.16, "expansion": 0.12, "options": 0.10, "phrase": 0.06}
@@ -29,30 +30,34 @@ def rule_rank(candidates: DataFrame, queries: DataFrame, markers=lexicon.UPDATE_
 
     ``candidates`` (query_id, memory_id, rank, content, search_text, occurred_at), ``queries`` (query_id,
     bounded, terms, expansion, option_terms, intent, day). Ties go to the later row, then to the better
-    candidate.
+    candidate. Where ``candidates`` has ``held`` and ``updates`` of index.told(), no text is read for terms.
     """
+    own = "held" in candidates.columns and "updates" in candidates.columns
+    if not own:
+        once = index.told(candidates.select("memory_id", "content", "search_text").dropDuplicates(["memory_id"]), markers)
+        candidates = candidates.join(once.select("memory_id", "held", "updates"), "memory_id")
     rows = candidates.join(queries.select("query_id", "bounded", "terms", "expansion", "option_terms", "intent", "day"), "query_id")
     whole, order = Window.partitionBy("query_id"), Window.partitionBy("query_id").orderBy("rank")
     rows = rows.withColumn("_index", F.row_number().over(order) - 1).withColumn("_first", F.min("occurred_at").over(whole)).withColumn("_last", F.max("occurred_at").over(whole))
-    values = (F.col("content"), F.coalesce("search_text", F.lit("")))
+    held = F.col("held")
     score = (
-        WEIGHTS["terms"] * text.coverage(F.col("terms"), *values)
+        WEIGHTS["terms"] * text.covered(F.col("terms"), held)
         + WEIGHTS["place"] / (1 + F.col("_index"))
-        + WEIGHTS["expansion"] * text.coverage(F.array_except("expansion", "terms"), *values)
-        + WEIGHTS["options"] * text.coverage(F.col("option_terms"), *values)
+        + WEIGHTS["expansion"] * text.covered(F.array_except("expansion", "terms"), held)
+        + WEIGHTS["options"] * text.covered(F.col("option_terms"), held)
         + WEIGHTS["phrase"] * text.phrase_bonus(F.col("bounded"), F.col("content"))
-        + time_score(F.col("occurred_at"), F.col("_first"), F.col("_last"), F.col("intent"), text.has_update_marker(F.col("content"), markers), F.col("day"))
+        + time_score(F.col("occurred_at"), F.col("_first"), F.col("_last"), F.col("intent"), F.col("updates"), F.col("day"))
     )
     rows = rows.withColumn("score", F.round(score, 12))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.coalesce("occurred_at", F.lit(0))), "rank")
-    return rows.withColumn("rank", F.row_number().over(best).cast("long")).select(*candidates.columns, "score")
+    return rows.withColumn("rank", F.row_number().over(best).cast("long")).select(*[c for c in candidates.columns if own or c not in ("held", "updates")], "score")
 
 
 def rerank(ranked: DataFrame, scored: DataFrame, pool: int = RERANK_POOL) -> DataFrame:
     """``ranked`` reordered by ``scored`` (query_id, memory_id, rerank_score) where that is complete and finite.
 
     Only the first ``pool`` rows of a query are scored by a model; rows behind them follow with score 0. A
-    query with a missing or infinite score keeps its rule order and scores.
+    query with a missing or infinite score keeps its rule order and scores; ``reranked`` tells.
     """
     rows = ranked.join(scored.select("query_id", "memory_id", "rerank_score"), ["query_id", "memory_id"], "left")
     sound = F.col("rerank_score").isNotNull() & ~F.isnan("rerank_score") & (F.abs("rerank_score") < float("inf"))
@@ -60,7 +65,7 @@ def rerank(ranked: DataFrame, scored: DataFrame, pool: int = RERANK_POOL) -> Dat
     rows = rows.withColumn("_in", F.col("rank") <= pool).withColumn("_ok", F.min(F.when(F.col("_in"), sound).otherwise(True)).over(whole))
     score = F.when(~F.col("_ok"), F.col("score")).when(F.col("_in"), F.col("rerank_score")).otherwise(0.0)
     order = Window.partitionBy("query_id").orderBy(F.when(F.col("_ok") & F.col("_in"), 0).when(F.col("_ok"), 1).otherwise(0), F.when(F.col("_ok") & F.col("_in"), -F.col("rerank_score")), "rank")
-    return rows.withColumn("_r", F.row_number().over(order).cast("long")).select(*[c for c in ranked.columns if c not in ("rank", "score")], score.alias("score"), F.col("_r").alias("rank"))
+    return rows.withColumn("_r", F.row_number().over(order).cast("long")).select(*[c for c in ranked.columns if c not in ("rank", "score")], score.alias("score"), F.col("_r").alias("rank"), F.col("_ok").alias("reranked"))
 
 
 def diversify(ranked: DataFrame, queries: DataFrame) -> DataFrame:

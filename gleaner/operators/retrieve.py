@@ -27,9 +27,9 @@ def bm25(queries: DataFrame, index: Index, limit: int = 300, scope: str = "corpu
     """Top memories of the query's own user by BM25 over ``queries`` (query_id, user_id, terms).
 
     ``scope`` "corpus" takes counts and lengths over all users, "user" over the query's own. A term in more
-    than half of the rows keeps a weight of 1e-6. Terms count once each.
+    than half of the rows keeps a weight of 1e-6. A term counts as often as the query has it.
     """
-    asked = queries.select("query_id", "user_id", F.explode(F.array_distinct("terms")).alias("term"))
+    asked = queries.select("query_id", "user_id", F.explode("terms").alias("term")).groupBy("query_id", "user_id", "term").agg(F.count("*").alias("times"))
     by = ["user_id"] if scope == "user" else []
     size = index.docs.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     often = index.postings.join(asked.select(*by, "term").distinct(), [*by, "term"]).groupBy(*by, "term").agg(F.count("*").alias("df"))
@@ -37,7 +37,7 @@ def bm25(queries: DataFrame, index: Index, limit: int = 300, scope: str = "corpu
     hits = hits.join(size, "user_id") if by else hits.join(F.broadcast(size))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(1e-6)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "memory_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
     return ranked(scored, limit, F.desc("score"))
 

@@ -37,7 +37,7 @@ class EngineConfig:
     add_concurrency: int = 16
     stats_scope: str = "corpus"
     lexical_backend: str = "bm25"
-    tokenizer: str = "plain"
+    tokenizer: str = "porter"
     exact_unicode: bool = False
     embedding_model: str = "mock-64"
     embeddings: bool = True

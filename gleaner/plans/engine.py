@@ -55,10 +55,14 @@ def plan_queries(queries: DataFrame, config: EngineConfig) -> DataFrame:
 
 
 def search(queries: DataFrame, memories: DataFrame, indexed: index.Index, embedded: DataFrame | None, config: EngineConfig, query_vectors: DataFrame | None = None) -> DataFrame:
-    """Evidence for a batch of questions: (query_id, place, id, content, score, created_at).
+    """Evidence for a batch of questions: (query_id, place, id, content, score, created_at, unranked).
+
+    ``unranked`` marks the rows of a question for which a configured reranker gave no usable scores.
 
     Stages that are used more than once are written to the shared folder; the last ones are left lazy.
     """
+    if config.exact_unicode:
+        queries = queries.withColumn("query", text.normalize_exact(F.col("query")))
     asked = settle(plan_queries(queries, config))
     limit = config.candidate_limit
     if config.lexical_backend == "prefix":
@@ -79,19 +83,33 @@ def search(queries: DataFrame, memories: DataFrame, indexed: index.Index, embedd
     days = dated.select("query_id").distinct().withColumn("_dated", F.lit(True))
     asked = asked.join(days, "query_id", "left").withColumn("day", F.when(F.col("_dated"), F.col("day"))).drop("_dated")
     asked = settle(asked)
-    admitted = settle(candidates.admit(candidates.fuse(lexical, near, dated), asked, memories))
-    rows = settle(candidates.expand(admitted, asked, memories).join(memories, "memory_id"))
+    met = indexed.terms if indexed.terms is not None else settle(index.told(memories.join(asked.select("user_id").distinct(), "user_id", "left_semi")))
+    admitted = settle(candidates.admit(candidates.fuse(lexical, near, dated), asked, met))
+    rows = settle(candidates.expand(admitted, asked, memories).join(memories, "memory_id").join(met.drop("whole"), "memory_id"))
     revisable = asked.where((F.col("intent") != "earliest") & F.col("day").isNull())
     kept = candidates.suppress(rows.join(revisable.select("query_id"), "query_id", "left_semi"), revisable)
     rows = kept.unionByName(rows.join(revisable.select("query_id"), "query_id", "left_anti"))
-    ordered = settle(rank.rule_rank(rows, asked))
+    ordered = settle(rank.rule_rank(rows, asked).drop("held", "brief", "claims", "updates"))
     if config.reranker is not None:
         open_to = asked.where((F.col("intent") == "none") & F.col("day").isNull())
-        ordered = rank.rerank(ordered, rank.scores_by(config.reranker, ordered.join(open_to.select("query_id"), "query_id", "left_semi"), open_to))
+        ordered = settle(rank.rerank(ordered, rank.scores_by(config.reranker, ordered.join(open_to.select("query_id"), "query_id", "left_semi"), open_to)))
+        unranked = ordered.where("NOT reranked").join(open_to.select("query_id"), "query_id", "left_semi").select("query_id").distinct().withColumn("unranked", F.lit(True))
+        ordered = ordered.drop("reranked")
     limits = asked.select("query_id", "query", "intent", "top_k", F.least("top_k", F.lit(config.max_output_items)).alias("limit"))
     picked = settle(rank.diversify(ordered, limits))
     windowed = rank.windows(picked, memories)
-    return rank.emit(rank.pack(windowed, limits, config.max_output_tokens, config.max_output_items), memories)
+    items = rank.emit(rank.pack(windowed, limits, config.max_output_tokens, config.max_output_items), memories)
+    if config.reranker is None:
+        return items.withColumn("unranked", F.lit(False))
+    return items.join(unranked, "query_id", "left").withColumn("unranked", F.coalesce("unranked", F.lit(False)))
+
+
+def build_index(memories: DataFrame, config: EngineConfig) -> index.Index:
+    """Postings, sizes and terms of ``memories`` as the settings want them."""
+    if config.exact_unicode:
+        memories = memories.withColumn("content", text.normalize_exact(F.col("content")))
+    built = index.build(memories, stems=porter.stem_all if config.tokenizer == "porter" else None)
+    return index.Index(built.postings, built.docs, index.told(memories))
 
 
 class Engine:
@@ -133,23 +151,24 @@ class Engine:
         rows = ingest.messages(fresh, F.lit(now))
         if self.config.annotator is not None:
             noted = models.annotate_with(self.config.annotator, rows, "content")
-            rows = noted.withColumn("search_text", text.search_text(F.col("content"), F.col("annotation"))).drop("annotation")
+            rows = noted.withColumn("search_text", text.search_text(self._exact(F.col("content")), F.col("annotation"))).drop("annotation")
+        elif self.config.exact_unicode:
+            rows = rows.withColumn("search_text", text.search_text(self._exact(F.col("content"))))
         start = self.store.read("memories").agg(F.coalesce(F.max("row_id"), F.lit(0))).first()[0]
         rows = rows.withColumn("row_id", F.monotonically_increasing_id() + (start + 1))
         where = f"{self.store.path}/memories/batch={batch}"
         columns = [c.split()[0] for c in schemas.MEMORY.split(", ")]
         rows.select(*columns).write.mode("overwrite").parquet(where)
         rows = self.spark.read.schema(schemas.MEMORY).parquet(where)
-        built = index.build(rows, self._tokens)
-        tables = {"requests": fresh.withColumn("created_at", F.lit(now)), "postings": built.postings, "docs": built.docs}
+        built = build_index(rows, self.config)
+        tables = {"requests": fresh.withColumn("created_at", F.lit(now)), "postings": built.postings, "docs": built.docs, "terms": built.terms}
         if self.config.embeddings:
             tables["embeddings"] = self._embedded(rows)
         self.store.publish(batch, tables)
         log.info("published a batch of %d tables", len(tables) + 1)
 
-    def _tokens(self, content):
-        own = index.content_tokens(content)
-        return porter.stem_all(own) if self.config.tokenizer == "porter" else own
+    def _exact(self, content):
+        return text.normalize_exact(content) if self.config.exact_unicode else content
 
     def _embedded(self, rows: DataFrame) -> DataFrame:
         if self.config.embedder is None:
@@ -166,8 +185,8 @@ class Engine:
         return status["status"]
 
     def rebuild_index(self) -> index.Index:
-        """Postings and sizes from the memories alone."""
-        return index.build(self.store.read("memories"), self._tokens)
+        """Postings, sizes and terms from the memories alone."""
+        return build_index(self.store.read("memories"), self.config)
 
     # read path
 
@@ -177,7 +196,7 @@ class Engine:
         queries = queries.withColumn("query", F.when(text.strip(F.col("query")) != "", F.col("query")).otherwise(blank.cast("string")))
         if self.config.analyzer is not None:
             queries = self._analyzed(queries)
-        indexed = index.Index(self.store.read("postings"), self.store.read("docs"))
+        indexed = index.Index(self.store.read("postings"), self.store.read("docs"), self.store.read("terms"))
         embedded = self.store.read("embeddings") if self.config.embeddings else None
         sought = None
         if embedded is not None and self.config.embedder is not None:
@@ -210,7 +229,8 @@ class Engine:
                     return [dict(item) for item in self._cache[key]]
             asked = self.spark.createDataFrame([("q", user_id, query, options, top_k)], schemas.QUERY)
             found = [r.asDict() for r in self.search_batch(asked).orderBy("place").collect()]
-            if found:
+            ranked = not any([item.pop("unranked") for item in found])
+            if found and ranked:  # an order that a failed reranker left is not remembered
                 with self._lock:
                     self._cache[key] = found
                     while len(self._cache) > self.config.cache_entries:

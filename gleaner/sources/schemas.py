@@ -13,8 +13,9 @@ LEDGER = "user_id string, request_id string, session_id string, payload_hash str
 EMBEDDING = "memory_id string, user_id string, model string, dimensions int, vector array<double>"
 POSTING = "user_id string, memory_id string, term string, tf double"
 DOCUMENT = "memory_id string, user_id string, dl double"
+TERMS = "memory_id string, held array<string>, whole array<string>, brief array<string>, claims array<array<string>>, updates boolean"
 PANEL = (
     "user_id string, history_id string, session_id string, memory string, messages array<string>, question string, query string, "
     "evidence array<string>, evidence_ids array<string>"
 )
-TABLES = {"memories": MEMORY, "requests": LEDGER, "embeddings": EMBEDDING, "postings": POSTING, "docs": DOCUMENT}
+TABLES = {"memories": MEMORY, "requests": LEDGER, "embeddings": EMBEDDING, "postings": POSTING, "docs": DOCUMENT, "terms": TERMS}

@@ -186,3 +186,33 @@ def test_questions_up_to_16000_characters_are_read_whole(spark):
     assert row.bounded == query
     assert row.terms[0] == "alpha" and "middle" in row.terms
     assert frame.select(text.query_terms(F.col("query")).alias("t")).collect()[0].t == row.terms
+
+
+def test_failed_reranker_is_not_remembered(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def broken(q, texts):
+        (calls / str(len(list(calls.iterdir())))).touch()
+        return [float("nan")] * len(texts)
+
+    e = Engine(spark, str(tmp_path / "s"), EngineConfig(reranker=broken))
+    e.add_one(request("r", "u", "s", ("user", "Alice moved to Kyoto.", None)))
+    first = e.search("Where did Alice move?", "u")
+    assert "Kyoto" in first[0]["content"] and "unranked" not in first[0]
+    once = len(list(calls.iterdir()))
+    assert e.search("Where did Alice move?", "u") == first and len(list(calls.iterdir())) > once
+
+
+def test_stems_match_and_count(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"), EngineConfig(embeddings=False))
+    e.add_one(request("r", "u", "s", ("user", "She was relating her happiness about sailing.", None)))
+    assert e.search("relates happily sail", "u")
+
+
+def test_compatibility_characters(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"), EngineConfig(exact_unicode=True, embeddings=False))
+    e.add_one(request("r", "u", "s", ("user", "Ｋｙｏｔｏ is lovely.", None)))
+    assert "Ｋｙｏｔｏ" in e.search("Kyoto?", "u")[0]["content"]
+    e.add_one(request("r2", "u", "s2", ("user", "The team met.", NEW_YEAR)))
+    assert "The team met." in told(e.search("What happened on ２０２４-０１-０１?", "u"))
