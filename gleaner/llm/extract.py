@@ -334,7 +334,7 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
                 texts: dict[int, list] = {}
                 for path, told, links, vague, inside in blocks:
                     texts.setdefault(path, []).append(told)
-                    now = add((host, path), 0, "", 0)
+                    now = add((host, path), 0, "", 1 << 40)  # its element, if there is one, comes before
                     now[8] += len(told)
                     now[9] += links
                     now[10], now[11] = now[10] or vague, now[11] or inside
@@ -381,7 +381,8 @@ def expressions(wrapper: DataFrame) -> DataFrame:
             for parts in batch["parts"].to_pylist():
                 inside: dict[int, list[dict]] = {}
                 for p in sorted(parts, key=lambda p: (p["at"], p["path"])):
-                    inside.setdefault(p["parent"], []).append(p)
+                    if p["path"]:  # 0 is text outside every element
+                        inside.setdefault(p["parent"], []).append(p)
                 shown: list[str] = []
                 todo: list = [p for p in reversed(inside.get(0, []))]
                 while todo:

@@ -326,9 +326,9 @@ def test_constants_of_a_host_are_not_main_text(spark):
 
 
 def test_wrapper_expression(spark):
-    pages = [(f"http://w.example.org/{i}", f"<ul><li>a{i}</li><li>b</li></ul>" + "<p>x</p>" * (i % 2)) for i in range(6)]
+    pages = [(f"http://w.example.org/{i}", f"bare<ul><li>a{i}</li><li>b</li></ul>" + "<p>x</p>" * (i % 2)) for i in range(6)]
     wrapper = extract.wrappers(spark.createDataFrame(pages, "url string, html string").repartition(3))
-    assert extract.expressions(wrapper).first().expression == "(<ul>(<li>#</li>)+</ul>)(<p>=</p>)?"
+    assert extract.expressions(wrapper).first().expression == "(<ul>(<li>#</li>)+</ul>)(<p>=</p>)?"  # text outside elements is not shown
 
 
 def brute_constants(pages):
