@@ -3,7 +3,9 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from gleaner.functions import text
 from gleaner import catalog
 from gleaner.catalog.data import memories
 
@@ -53,3 +55,15 @@ def test_every_turn_has_its_neighbours(spark):
         for i, (row, _) in enumerate(own):
             want.update((row, own[j][1], abs(i - j), 0) for j in range(max(0, i - 1), min(len(own), i + 2)))
     assert Counter(map(tuple, RUN["neighbors_all"](spark, SF).collect())) == want
+
+
+def test_long_questions_put_their_end_first(spark):
+    """A question of more than 160 terms: the terms of its last 512 characters, then the others, longest first, those with digits last."""
+    letters = "abcdefghijklmnopqrtuvwxyz"
+    words = [f"w{a}{b}k" for a in letters[:12] for b in letters] + ["n1234567k", "longestwordk"]
+    query = " ".join(words[::-1])
+    tail = [t for t in query[-512:].split() if len(t) > 1][:80]
+    rest = [w for w in query.split() if w not in tail]
+    rest.sort(key=lambda w: (any(c.isdigit() for c in w), -len(w)))
+    frame = spark.createDataFrame([(query,)], "q string")
+    assert frame.select(text.query_terms(F.col("q")).alias("t")).first().t == (tail + rest)[:160]
