@@ -1,13 +1,19 @@
 """Queries over all rows, against brute force on the same tables."""
 
+import functools
+import math
 from collections import Counter, defaultdict
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import text
 from gleaner import catalog
 from gleaner.catalog.data import memories
+from gleaner.operators import nearest, retrieve
 
 SF = "/root/testdata/sf0.001"
 RUN = catalog.queries()
@@ -67,3 +73,58 @@ def test_long_questions_put_their_end_first(spark):
     rest.sort(key=lambda w: (any(c.isdigit() for c in w), -len(w)))
     frame = spark.createDataFrame([(query,)], "q string")
     assert frame.select(text.query_terms(F.col("q")).alias("t")).first().t == (tail + rest)[:160]
+
+
+def brute(queries, rows, limit):
+    """Best rows by a loop over pairs: cosine summed from left to right, half up to nine digits, NaN first, then later, then smaller ids."""
+    found = []
+    for qid, user, q, least in queries:
+        scored = []
+        for name, owner, v, t in rows:
+            if owner == user and v is not None and len(v) == len(q) and None not in v:
+                dot = lambda a, b: functools.reduce(lambda s, x: s + x[0] * x[1], zip(a, b, strict=True), 0.0)
+                size = math.sqrt(dot(q, q)) * math.sqrt(dot(v, v))
+                s = dot(q, v) / size if size else None
+                s = s if s is None or math.isnan(s) else float(Decimal(repr(s)).quantize(Decimal("1e-9"), ROUND_HALF_UP))
+                if s is not None and (math.isnan(s) or s >= least):
+                    scored.append((-math.inf if math.isnan(s) else -s, -(t or 0), name, s))
+        found += [(qid, name, "nan" if math.isnan(s) else s, k + 1) for k, (_, _, name, s) in enumerate(sorted(scored, key=lambda x: x[:3])[:limit])]
+    return sorted(found, key=repr)
+
+
+@pytest.mark.parametrize("limit", [3, 40])
+def test_vector_search_in_cells_is_the_loop_over_pairs(spark, monkeypatch, limit):
+    """Copies, nearly equal vectors, unequal dimensions, nulls, NaN, lengths beyond a double; many small cells and blocks."""
+    for name, value in (("CELL", 1 << 9), ("CELL_LEAST", 1 << 7), ("ASKING", 1 << 6)):
+        monkeypatch.setattr(retrieve, name, value)
+    for name, value in (("ROWS", 16), ("QUERIES", 4), ("AGAIN", 256)):
+        monkeypatch.setattr(nearest, name, value)
+    rng = np.random.default_rng(3)
+    vectors = [[float(x) for x in rng.normal(size=8)] for _ in range(150)]
+    vectors += [vectors[0]] * 50 + [[x + 1e-8 * float(rng.normal()) for x in vectors[1]] for _ in range(50)] + [[2 * x for x in vectors[0]]] * 5
+    vectors += [None, [], [1.0], [0.0] * 8, [1.0, None, *[0.0] * 6], [float("nan")] * 8, [1e200] * 8, [1e-170] * 8, [-1e-220] * 8, [1.0] + [0.0] * 7, [2.0, 1.0]]
+    rows = [(f"m{i:03}", "uw"[i % 7 == 0], v, None if i % 5 == 0 else i // 4) for i, v in enumerate(vectors)]
+    queries = [(i, "u", v, least) for i, (v, least) in enumerate([(v, lo) for v in (*vectors[:12], vectors[205], *vectors[-8:]) for lo in (-1.0, 0.35)]) if v is not None and None not in v]
+    queries += [(900, "w", vectors[0], 0.65), (901, "nobody", vectors[0], -1.0), (902, "w", vectors[7], -1.0)]
+    asked = spark.createDataFrame([(i, u, "m", v, lo) for i, u, v, lo in [*queries, (903, None, vectors[0], -1.0), (904, "u", vectors[0], None)]], "query_id bigint, user_id string, model string, vector array<double>, min_similarity double")
+    held = spark.createDataFrame([(n, u, "m", v) for n, u, v, _ in rows] + [("other", "u", "else", vectors[0])], "memory_id string, user_id string, model string, vector array<double>")
+    times = spark.createDataFrame([(n, t) for n, _, _, t in rows] + [("other", 1)], "memory_id string, occurred_at bigint")
+    got = [(r.query_id, r.memory_id, "nan" if math.isnan(r.score) else r.score, r["rank"]) for r in retrieve.vector_search(asked, held, times, limit).collect()]
+    want = brute(queries, rows, limit)
+    assert sorted(got, key=repr) == want
+    own = [x for x in queries if x[1] == "u"]
+    asks = pa.table({"query_id": [x[0] for x in own], "vector": pa.array([x[2] for x in own], pa.list_(pa.float64())), "min_similarity": [x[3] for x in own]})
+    there = [(n, t or 0, v) for n, u, v, t in rows if u == "u"]
+    met = nearest.cell(limit, 9)(asks, pa.table({"memory_id": [n for n, _, _ in there], "time": [t for _, t, _ in there], "vector": pa.array([v for *_, v in there], pa.list_(pa.float64()))}))
+    pairs = [(r["query_id"], r["memory_id"], "nan" if math.isnan(r["score"]) else r["score"]) for r in met.to_pylist()]
+    assert sorted(pairs, key=repr) == sorted((x[:3] for x in want if x[0] < 900), key=repr)
+    assert retrieve.vector_search(asked.limit(0), held, times, limit).count() == retrieve.vector_search(asked, held.limit(0), times, limit).count() == 0
+
+
+def test_vector_search_makes_no_row_a_pair(spark):
+    """20,000 vectors of one user, 2,000 queries: 40 million pairs, of which only the best may become rows."""
+    one = spark.range(20000).select(F.format_string("m%05d", "id").alias("memory_id"), F.lit("u").alias("user_id"), F.lit("m").alias("model"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.hash("id", i).cast("double")).alias("vector"))
+    times, asked = one.select("memory_id", F.lit(0).cast("long").alias("occurred_at")), one.where("memory_id < 'm02000'").select(F.col("memory_id").alias("query_id"), "user_id", "model", "vector", F.lit(-1.0).alias("min_similarity"))
+    found = retrieve.vector_search(asked, one, times, 2)
+    assert "CoGroup" in found._jdf.queryExecution().toString()
+    assert found.where("rank = 1 AND query_id = memory_id").count() == 2000
