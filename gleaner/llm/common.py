@@ -16,6 +16,7 @@ from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,16 +96,30 @@ def trim() -> None:
         pass
 
 
-def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with at most STEP rows a batch, whatever the session's setting; freed memory is given back."""
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def in_batches(df: DataFrame, run: Run, schema) -> DataFrame:
+    """mapInArrow with at most STEP rows a batch, whatever the session's setting; freed memory is given back.
+
+    On what in_batches() returned, both run in one pass: a task has one Python worker instead of two, and
+    texts cross over once.
+    """
+    df, before = getattr(df, "passed", (df, []))
+    runs = [*before, run]
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sliced = lambda given: (b.slice(at, STEP) for b in given for at in range(0, b.num_rows, STEP))
         try:
-            yield from run(b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP))
+            for each in runs:
+                batches = each(sliced(batches))
+            yield from batches
         finally:
             trim()
 
-    return df.mapInArrow(bounded, schema)
+    out = df.mapInArrow(bounded, schema)
+    out.passed = (df, runs)
+    return out
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -208,7 +223,14 @@ def distinct_texts(docs: DataFrame, copies: DataFrame, text: str = "text") -> Da
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(copies, F.col("h1")))
     # a written table, so that a task that runs again sees the same rows in the same order
     one_each = settle(maybe_among(keyed, bits).dropDuplicates(["h1", "h2"]))
-    return maybe_among(keyed, bits, False).unionByName(one_each)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            single = pa.array(~in_filter(bits.value, batch["h1"].to_numpy()))
+            yield batch.select(["h1", "h2", "text"]).filter(pc.or_(batch["chosen"], single))
+
+    rows = keyed.withColumn("chosen", F.lit(False)).unionByName(one_each.withColumn("chosen", F.lit(True)))
+    return in_batches(rows, run, keyed.schema)
 
 
 def text_key(text) -> list:

@@ -559,3 +559,19 @@ def test_pipeline_run(spark, tmp_path):
     assert P.run(spark, f"{tmp_path}/none").count() == 0
     left = {x for x in os.listdir(got.settled_at.removeprefix("file:").rsplit("/", 1)[0])}
     assert os.path.basename(got.settled_at) in left
+
+
+def test_passes_over_texts_share_a_worker(spark):
+    """distinct_texts, a filter and a function after it: one MapInArrow, hence one Python worker a task; same rows."""
+    import pyarrow as pa
+
+    from gleaner.llm import common
+
+    texts = ["a b", "c", "a b", None, "", "d e f", "c", "g"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    distinct = common.distinct_texts(docs, common.copied_texts(docs))
+    assert sorted(r.text or "" for r in distinct.collect()) == ["", "a b", "c", "d e f", "g"]
+    every = spark.sparkContext.broadcast(np.full(1 << 14, -1, np.int64))
+    upper = common.in_batches(common.maybe_among(distinct, every), lambda batches: (pa.RecordBatch.from_arrays([pa.array([(t or "").upper() for t in b["text"].to_pylist()])], ["t"]) for b in batches), "t string")
+    assert sorted(r.t for r in upper.collect()) == ["", "A B", "C", "D E F", "G"]
+    assert upper._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
