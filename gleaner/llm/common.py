@@ -42,6 +42,18 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile at most STEP rows go to Python at once: else a worker and its JVM each hold 10,000 whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STEP if int(before) <= 0 else min(int(before), STEP))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Lists of tables to remove, innermost last; each thread has its own.
 _SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
@@ -54,7 +66,8 @@ def settle(df: DataFrame, outlast: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     held = _SCRATCH.get()[: -1 if outlast else None]
     if held:
         held[-1].append(path)

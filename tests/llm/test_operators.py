@@ -575,3 +575,16 @@ def test_passes_over_texts_share_a_worker(spark):
     upper = common.in_batches(common.maybe_among(distinct, every), lambda batches: (pa.RecordBatch.from_arrays([pa.array([(t or "").upper() for t in b["text"].to_pylist()])], ["t"]) for b in batches), "t string")
     assert sorted(r.t for r in upper.collect()) == ["", "A B", "C", "D E F", "G"]
     assert upper._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_written_tables_get_small_batches(spark):
+    """Python is given at most STEP rows at once by the JVM itself, and the session keeps its setting."""
+    import pyarrow as pa
+
+    from gleaner.llm import common
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    frame = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n bigint")
+    assert sorted(r.n for r in common.settle(frame).collect()) == [common.STEP] * 5
+    assert spark.conf.get(name) == before
