@@ -128,3 +128,22 @@ def test_vector_search_makes_no_row_a_pair(spark):
     found = retrieve.vector_search(asked, one, times, 2)
     assert "CoGroup" in found._jdf.queryExecution().toString()
     assert found.where("rank = 1 AND query_id = memory_id").count() == 2000
+
+
+def test_few_pairs_of_a_cell_are_scored_in_doubles(monkeypatch):
+    """Products of all blocks are looked through before pairs are scored: hardly more pairs than results."""
+    rng, scored = np.random.default_rng(5), []
+    rows, q, dots = rng.normal(size=(20000, 16)), rng.normal(size=(300, 16)), nearest._dots
+    monkeypatch.setattr(nearest, "_dots", lambda a, b: scored.append(0 if a is b else len(a)) or dots(a, b))
+    monkeypatch.setattr(nearest, "ROWS", 1024)
+    found = sum(len(i) for i, _, _ in nearest._best(q, np.full(300, -1.0), rows, 10, 9))
+    assert found == 3000 and sum(scored) <= 1.2 * found
+
+
+def test_copies_of_the_best_vectors_are_not_all_expanded(monkeypatch):
+    """300 copies of each vector fill a query's results alone: no other vector is scored in doubles."""
+    rng, scored = np.random.default_rng(6), []
+    rows, dots = np.repeat(rng.normal(size=(100, 16)), 300, axis=0), nearest._dots
+    monkeypatch.setattr(nearest, "_dots", lambda a, b: scored.append(0 if a is b else len(a)) or dots(a, b))
+    assert sum(len(i) for i, _, _ in nearest._best(rows[::3000], np.full(10, -1.0), rows, 300, 9)) == 3000
+    assert sum(scored) <= 20
