@@ -87,9 +87,22 @@ def discard(df: DataFrame | None) -> None:
         _remove(df.sparkSession, df.settled_at)
 
 
+def hand_back(spark: SparkSession) -> None:
+    """Executors collect their garbage and give heap that is not in use back to the machine.
+
+    A JVM keeps the heap that it once touched, up to all it may have, while the next step's Python workers
+    and buffers come on top.
+    """
+    slots = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, slots, 1, slots).select(F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that settle() writes meanwhile are removed at the end; nothing lazy may still need them."""
+    """Tables that settle() writes meanwhile are removed at the end; nothing lazy may still need them.
+
+    The outermost one also hands back memory.
+    """
     own: list[str] = []
     token = _SCRATCH.set((*_SCRATCH.get(), own))
     try:
@@ -98,6 +111,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _SCRATCH.reset(token)
         for name in own:
             _remove(spark, name)
+    if not _SCRATCH.get():
+        hand_back(spark)
 
 
 def trim() -> None:

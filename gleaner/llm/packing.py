@@ -9,9 +9,10 @@ their fill, so that what many tasks leave does not add up.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,21 +35,29 @@ class Encoder:
     """Token ids of byte_bpe_50k as ``tokenizers`` gives them, with ``end`` after each text.
 
     Texts without a special token's string are encoded from the same vocabulary's ranks, which gives the same
-    ids several times as fast; the others go through ``tokenizers`` itself.
+    ids several times as fast; the others go through ``tokenizers`` itself, which is loaded for the first of them.
     """
 
     def __init__(self, end: int = 2, name: str = "byte_bpe_50k"):
         import public_tokenizers as public
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path = public.path(f"{name}.json")
         with open(public.path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.slow = Tokenizer.from_file(public.path(f"{name}.json"))
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
+        with open(self.path, encoding="utf-8") as file:
+            held = file.read()
+        added, _ = json.JSONDecoder().raw_decode(held, held.index("[", held.index('"added_tokens"')))
+        self.special = [t["content"] for t in added]
         self.end = np.array([end], np.uint32)
 
+    @cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
             ids = self.slow.encode(text, add_special_tokens=False).ids

@@ -588,3 +588,24 @@ def test_written_tables_get_small_batches(spark):
     frame = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n bigint")
     assert sorted(r.n for r in common.settle(frame).collect()) == [common.STEP] * 5
     assert spark.conf.get(name) == before
+
+
+def test_executors_hand_back_memory_once_an_operator_is_done(spark, monkeypatch):
+    from gleaner.llm import common
+
+    calls, hand_back = [], common.hand_back
+    monkeypatch.setattr(common, "hand_back", lambda s: calls.append(1) or hand_back(s))
+    with common.scratch(spark):
+        with common.scratch(spark):
+            pass
+        assert not calls
+    assert len(calls) == 1
+
+
+def test_the_tokenizer_is_only_loaded_for_special_tokens():
+    from gleaner.llm.packing import Encoder
+
+    encoder = Encoder()
+    encoder.ids("plain words")
+    assert "slow" not in vars(encoder)
+    assert set(encoder.special) == {t.content for t in encoder.slow.get_added_tokens_decoder().values()}
