@@ -147,3 +147,52 @@ def test_copies_of_the_best_vectors_are_not_all_expanded(monkeypatch):
     monkeypatch.setattr(nearest, "_dots", lambda a, b: scored.append(0 if a is b else len(a)) or dots(a, b))
     assert sum(len(i) for i, _, _ in nearest._best(rows[::3000], np.full(10, -1.0), rows, 300, 9)) == 3000
     assert sum(scored) <= 20
+
+
+@pytest.mark.parametrize("limit", [3, 60])
+def test_vector_hits_are_counted_as_the_loop_over_pairs(spark, monkeypatch, limit):
+    """Copies, scores at the bar, unequal dimensions, nulls, NaN, lengths beyond a double, a query twice; many small cells and blocks."""
+    for name, value in (("CELL", 1 << 9), ("CELL_LEAST", 1 << 7), ("COUNTING", 1 << 6)):
+        monkeypatch.setattr(retrieve, name, value)
+    for name, value in (("COUNTED", (4, 16)), ("AGAIN", 256)):
+        monkeypatch.setattr(nearest, name, value)
+    rng = np.random.default_rng(4)
+    vectors = [[float(x) for x in rng.normal(size=8)] for _ in range(120)] + [[1.0] + [0.0] * 7, [0.35, math.sqrt(1 - 0.35**2)] + [0.0] * 6, [0.35 - 2e-9, 1.0] + [0.0] * 6]
+    vectors += [vectors[0]] * 50 + [[x + 1e-8 * float(rng.normal()) for x in vectors[121]] for _ in range(50)] + [[2 * x for x in vectors[0]]] * 5
+    vectors += [None, [], [1.0], [0.0] * 8, [1.0, None, *[0.0] * 6], [float("nan")] * 8, [float("inf")] + [0.0] * 7, [1e200] * 8, [1e-170] * 8, [-1e-220] * 8, [2.0, 1.0]]
+    rows = [(f"m{i:03}", "uw"[i % 7 == 0], v, 0) for i, v in enumerate(vectors)]
+    whole = [v for v in (*vectors[:10], vectors[120], *vectors[-10:]) if v is not None and None not in v]
+    queries = [(i, "u", v, least) for i, (v, least) in enumerate([(v, lo) for v in whole for lo in (-1.0, 0.35, 0.65)])] + [(900, "w", vectors[0], 0.65), (901, "nobody", vectors[0], -1.0), (1, "u", vectors[0], 0.35)]
+    kinds = "query_id bigint, user_id string, model string, vector array<double>, min_similarity double"
+    asked = spark.createDataFrame([(i, u, "m", v, lo) for i, u, v, lo in [*queries, (902, None, vectors[0], -1.0), (903, "u", vectors[0], None)]], kinds)
+    held = spark.createDataFrame([(n, u, "m", v) for n, u, v, _ in rows] + [("other", "u", "else", vectors[0])], "memory_id string, user_id string, model string, vector array<double>")
+    want = {i: min(limit, n) for i, n in Counter(x[0] for x in brute(queries, rows, len(rows))).items()}
+    assert {r.query_id: r.hits for r in retrieve.vector_hits(asked, held, limit).collect()} == want
+    own = [x for x in queries if x[1] == "u" and x[0] != 1]
+    asks = pa.table({"query_id": [x[0] for x in own], "vector": pa.array([x[2] for x in own], pa.list_(pa.float64())), "min_similarity": [x[3] for x in own]})
+    met = nearest.counted(limit, 9)(asks, pa.table({"vector": pa.array([v for _, u, v, _ in rows if u == "u"], pa.list_(pa.float64()))}))
+    assert dict(zip(met["query_id"].to_pylist(), met["hits"].to_pylist(), strict=True)) == {x[0]: want[x[0]] for x in own if x[0] in want}
+    assert retrieve.vector_hits(asked.limit(0), held, limit).count() == retrieve.vector_hits(asked, held.limit(0), limit).count() == 0
+
+
+def test_vector_threshold_makes_no_row_a_hit(spark, tmp_path):
+    """Copies of few vectors: every query has its fill of hits in every cell, which are only counted, neither ranked nor joined."""
+    rng = np.random.default_rng(7)
+    kinds = [[float(x) for x in rng.normal(size=16)] for _ in range(10)]
+    spark.createDataFrame([(i, kinds[i % 10]) for i in range(8000)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = RUN["vector_threshold"](spark, str(tmp_path))
+    assert "Window" not in (plan := found._jdf.queryExecution().toString()) and "memory_id" not in plan.split("CoGroup")[0]
+    assert {(r.query_id, r.hits) for r in found.collect()} == {(i, 300) for i in range(0, 8000, 50)}
+
+
+def test_counted_pairs_are_hardly_ever_scored_in_doubles(monkeypatch):
+    """A product beyond the bound counts as it is, and a query that has its fill is left out of what follows."""
+    rng, scored, met = np.random.default_rng(8), [], []
+    rows, q, dots, product = rng.normal(size=(20000, 16)), rng.normal(size=(300, 16)), nearest._dots, np.matmul
+    monkeypatch.setattr(nearest, "_dots", lambda a, b: scored.append(0 if a is b else len(a)) or dots(a, b))
+    monkeypatch.setattr(nearest.np, "matmul", lambda a, b, out: met.append(out.size) or product(a, b, out=out))
+    unit = lambda m: m / np.sqrt((m * m).sum(1))[:, None]
+    least = np.where(np.arange(300) % 2, 0.35, 0.8)
+    want = (unit(q) @ unit(rows).T >= least[:, None]).sum(1)
+    assert (nearest._hits(q, least, rows, 300, 9) == np.minimum(want, 300)).all()
+    assert want.sum() > 200000 and sum(scored) < 1000 and sum(met) < 0.75 * rows.shape[0] * len(q)
